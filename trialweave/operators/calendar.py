@@ -30,6 +30,10 @@ def add_months(d: date, n: int) -> date:
     return date(y, m + 1, min(d.day, _cal.monthrange(y, m + 1)[1]))
 
 
+def _sql_date(d: date) -> str:
+    return f"date'{d.isoformat()}'"
+
+
 @dataclass(frozen=True)
 class Window:
     """A run of slots [lo, hi)."""
@@ -97,25 +101,25 @@ class TrialCalendar:
             return (F.year(eventdate) - first.year) * 12 + F.month(eventdate) - first.month
         return reduce(lambda a, c: a + (eventdate >= F.lit(c)).cast("int"), self.cuts[1:], F.lit(0))
 
+    # The literals below are written as SQL text: one expression to parse instead of
+    # hundreds of calls into the JVM.
+
     def trials(self) -> Column:
         """All trials as one literal array of structs, in order of start."""
         rows = []
         for start, w in zip(self.starts, self.windows):
-            fields = [
-                F.lit(start).alias("trial_start"),
-                F.lit(add_months(start, 1)).alias("enrollment_end"),
-                F.lit(add_months(start, 24)).alias("end_followup_date_2y"),
-                F.lit(add_months(start, 60)).alias("end_followup_date_5y"),
-                F.lit(w["measures"].lo).alias("measures_lo"),
-                F.lit(w["measures"].hi).alias("measures_hi"),
-            ]
-            fields += [
-                F.lit(w[n].mask(i)).cast("long").alias(f"{n}_mask_{i}")
-                for n in ("washout", "arm", "drugs")
-                for i in range(self.words)
-            ]
-            rows.append(F.struct(*fields))
-        return F.array(*rows)
+            fields = {
+                "trial_start": _sql_date(start),
+                "enrollment_end": _sql_date(add_months(start, 1)),
+                "end_followup_date_2y": _sql_date(add_months(start, 24)),
+                "end_followup_date_5y": _sql_date(add_months(start, 60)),
+                "measures_lo": str(w["measures"].lo),
+                "measures_hi": str(w["measures"].hi),
+            }
+            for n in ("washout", "arm", "drugs"):
+                fields |= {f"{n}_mask_{i}": f"{w[n].mask(i)}L" for i in range(self.words)}
+            rows.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")")
+        return F.expr(f"array({', '.join(rows)})")
 
     def trials_touched(self, window: str, slot: Column) -> Column:
         """Trial starts whose window holds the slot, as an array."""
@@ -123,10 +127,10 @@ class TrialCalendar:
             [s for s, w in zip(self.starts, self.windows) if w[window].lo <= i < w[window].hi]
             for i in range(len(self.cuts) - 1)
         ]
-        lists = F.array(*[F.array(*[F.lit(d) for d in ds]) if ds else F.array().cast("array<date>") for ds in by_slot])
-        return F.element_at(lists, slot + 1)
+        lists = ", ".join(f"array({', '.join(map(_sql_date, ds))})" for ds in by_slot)
+        return F.element_at(F.expr(f"array({lists})"), slot + 1)
 
     def trials_before(self, slot: Column) -> Column:
         """How many trials have their measure window ended at or before the slot begins."""
         counts = [sum(w["measures"].hi <= i for w in self.windows) for i in range(len(self.cuts))]
-        return F.element_at(F.array(*[F.lit(c) for c in counts]), slot + 1)
+        return F.element_at(F.expr(f"array({', '.join(map(str, counts))})"), slot + 1)

@@ -8,8 +8,6 @@ own row, with no join at trial level.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +29,9 @@ def exposure_bits(prescriptions: DataFrame, cal: TrialCalendar, drugs: list[str]
         F.floor(slot / BITS_PER_WORD).cast("int").alias("word"),
         F.pmod(slot, F.lit(BITS_PER_WORD)).cast("int").alias("pos"),
     )
-    bit = F.expr("shiftleft(1L, pos)")
     return events.groupBy("patid").agg(
         *[
-            F.bit_or(F.when((F.col("med_name") == d) & (F.col("word") == w), bit)).alias(bits_name(d, w))
+            F.expr(f"bit_or(case when med_name = '{d}' and word = {w} then shiftleft(1L, pos) end) as `{bits_name(d, w)}`")
             for d in drugs
             for w in range(cal.words)
         ]
@@ -43,8 +40,5 @@ def exposure_bits(prescriptions: DataFrame, cal: TrialCalendar, drugs: list[str]
 
 def exposed(drug: str, window: str, cal: TrialCalendar) -> Column:
     """Whether the drug was prescribed in a window of the current trial."""
-    tests = [
-        F.coalesce(F.col(bits_name(drug, w)), F.lit(0).cast("long")).bitwiseAND(F.col(f"{window}_mask_{w}")) != 0
-        for w in range(cal.words)
-    ]
-    return reduce(Column.__or__, tests)
+    tests = [f"coalesce(`{bits_name(drug, w)}`, 0L) & {window}_mask_{w} != 0" for w in range(cal.words)]
+    return F.expr(" or ".join(f"({t})" for t in tests))

@@ -31,12 +31,10 @@ def measure_slots(measurements: DataFrame, cal: TrialCalendar) -> DataFrame:
         .groupBy("patid", cal.slot(F.col("eventdate")).alias("slot"))
         .agg(
             *[
-                F.max(
-                    F.when(
-                        F.col("measure_name") == m,
-                        F.struct("eventdate", "event_id", F.col(_value(m, cal)).alias("value")),
-                    )
-                ).alias(m)
+                F.expr(
+                    f"max(case when measure_name = '{m}' then "
+                    f"struct(eventdate, event_id, {_value(m, cal)} as value) end) as `{m}`"
+                )
                 for m in measures
             ]
         )
@@ -54,10 +52,7 @@ def measure_timeline(slots: DataFrame, cal: TrialCalendar) -> DataFrame:
     so_far = by_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stop = F.lit(len(cal.cuts) - 1)
     latest = [
-        F.last(
-            F.when(F.col(m).isNotNull(), F.struct(F.col("slot").alias("slot"), F.col(f"{m}.value").alias("value"))),
-            ignorenulls=True,
-        )
+        F.last(F.expr(f"case when `{m}` is not null then struct(slot, `{m}`.value) end"), ignorenulls=True)
         .over(so_far)
         .alias(m)
         for m in measures
@@ -80,8 +75,9 @@ def measure_timeline(slots: DataFrame, cal: TrialCalendar) -> DataFrame:
 
 def latest_in_window(measure: str) -> Column:
     """The value of a running-latest struct if it lies inside the current trial's window."""
-    slot = F.col(f"{measure}.slot")
-    return F.when((slot >= F.col("measures_lo")) & (slot < F.col("measures_hi")), F.col(f"{measure}.value"))
+    return F.expr(
+        f"case when `{measure}`.slot >= measures_lo and `{measure}`.slot < measures_hi then `{measure}`.value end"
+    )
 
 
 def measures_in_window(measurements: DataFrame, person_trials: DataFrame, cal: TrialCalendar) -> DataFrame:

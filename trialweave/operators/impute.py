@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.scalars import hash_long, hash_uniform
 from trialweave.operators.logistic import EVERY_GROUP
-from trialweave.operators.ordering import numbered, sorted_neighbours
+from trialweave.operators.ordering import BUCKETS, numbered, sorted_neighbours
 from trialweave.operators.prep import MAX_LEVELS, quoted
 
 # Donors considered per missing value, ridge of the linear draw.
@@ -208,7 +208,13 @@ def linear_draw(z: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np
 
 
 def donor_draw(
-    donors: DataFrame, asking: DataFrame, groups: list[str], keys: list[str], seed: int, k: int = DONORS
+    donors: DataFrame,
+    asking: DataFrame,
+    groups: list[str],
+    keys: list[str],
+    seed: int,
+    k: int = DONORS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Give each asking row the value of one of its ``k`` nearest donors.
 
@@ -231,7 +237,7 @@ def donor_draw(
         hash_uniform(seed + 1, *mine).alias("__u"),
         "me",
     )
-    found = sorted_neighbours(d.unionByName(a), groups, "score", "donor", "__u", k)
+    found = sorted_neighbours(d.unionByName(a), groups, "score", "donor", "__u", k, buckets)
     # At most 2k candidates; the k nearest of them are the k nearest of all donors.
     near = F.slice(
         F.array_sort(
@@ -245,7 +251,7 @@ def donor_draw(
         1,
         k,
     )
-    nth = F.floor(hash_uniform(seed + 2, *groups_cols(groups), *mine) * F.size("__near")).cast("int")
+    nth = F.floor(hash_uniform(seed + 2, *[F.col(c) for c in groups], *mine) * F.size("__near")).cast("int")
     return (
         found.withColumn("__near", near)
         .withColumn("y", F.get("__near", nth)["y"])
@@ -253,10 +259,6 @@ def donor_draw(
     )
 
 
-def groups_cols(groups: list[str]) -> list[Column]:
-    return [F.col(g) for g in groups]
-
-
 def every_group(df: DataFrame) -> DataFrame:
     """Mark rows that are the same in all chains."""
     return df.withColumn("imputation", F.lit(EVERY_GROUP))

@@ -17,11 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 BUCKETS = 512
-HASH_BUCKETS = 1024
+ROWS_PER_BUCKET = 50_000
+
+
+def buckets_for(rows: int) -> int:
+    """Bucket count for a known number of rows; one bucket when the rows fit a single sort."""
+    return max(1, min(BUCKETS, rows // ROWS_PER_BUCKET))
 
 
 def with_buckets(df: DataFrame, score: str, tiebreak: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Add ``__bucket`` and ``__sub``; (bucket, sub) order agrees with (score, tiebreak) order."""
+    if buckets == 1:
+        return df.withColumns({"__bucket": F.lit(0), "__sub": F.lit(0)})
     probs = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(score, probs, 10 * buckets)).first()[0] or []
     hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
@@ -64,6 +71,8 @@ def sorted_neighbours(
         shifted("lead", by, order).alias("above"),
         F.row_number().over(Window.partitionBy(*place).orderBy(score, tiebreak)).alias("__nth"),
     )
+    if buckets == 1:
+        return rows.filter(F.col("__d").isNull()).drop("__d", "__bucket", "__sub", "__nth", donor)
 
     edge = F.col("__d").isNotNull() & ((F.size("below") < k) | (F.size("above") < k))
     marks = F.array(

@@ -33,6 +33,8 @@ def with_buckets(df: DataFrame, score: str, tiebreak: str | None = None, buckets
     cuts = df.agg(F.percentile_approx(score, probs, 10 * buckets)).first()[0] or []
     hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     inner = sorted({*cuts, *(math.nextafter(v, math.inf) for v in hot)})
+    if not inner:
+        return df.withColumns({"__bucket": F.lit(0), "__sub": F.lit(0)})
     splits = [-math.inf, *inner, math.inf]
     out = Bucketizer(splits=splits, inputCol=score, outputCol="__bucket").transform(df)
     out = out.withColumn("__bucket", F.col("__bucket").cast("int"))

@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialweave.catalog.base import PAIRS, TRIM_BOUNDS, cox_sql, filled, followed, query, scores, small_cohort
-from trialweave.functions.scalars import clip, hash_long
+from trialweave.functions.scalars import hash_long
 from trialweave.operators import logistic, panel, prep
-from trialweave.operators.cox import SUMS, cox, risk_table
+from trialweave.operators.cox import cox, risk_table
 from trialweave.operators.matching import matched_sample, nearest_controls
 from trialweave.operators.pool import pooled, report
-from trialweave.operators.tmle import clever_covariate, fluctuation, perturbed, risk_ratio, stratified_folds
-from trialweave.operators.weights import by_trim, stabilised_weights, trim_bounds, trim_depth, trimmed_rows
+from trialweave.operators.tmle import clever_covariate, fluctuation, perturbed, risk_ratio, spread, stratified_folds
+from trialweave.operators.weights import stabilised_weights, trim_bounds, trim_depth, trimmed_rows
 from trialweave.plans import estimation
 from trialweave.study import TRIMS, AnalysisSpec
 
 KEYS = ["patid", "trial_start"]
 GROUP = ["imputation"]
-SHORT = AnalysisSpec(trims=(0.01, 0.05), replicates=50)
 
 
 def pairs(spark, d):
-    return nearest_controls(scores(spark, d), GROUP, KEYS, 0.01, ["time", "outcome"])
+    return nearest_controls(scores(spark, d).persist(), GROUP, KEYS, 0.01, ["time", "outcome"])
 
 
 # ---- matching ------------------------------------------------------------------------------
@@ -131,7 +130,7 @@ def _(spark, d):
     doubles="trim",
 )
 def _(spark, d):
-    s = scores(spark, d)
+    s = scores(spark, d).persist()
     return trimmed_rows(s, trim_bounds(s, GROUP, TRIMS), GROUP, TRIMS).select(*KEYS, "trim")
 
 
@@ -141,7 +140,7 @@ def _(spark, d):
     doubles="trim lower upper", ints="imputation",
 )
 def _(spark, d):
-    return trim_bounds(scores(spark, d), GROUP, TRIMS)
+    return trim_bounds(scores(spark, d).persist(), GROUP, TRIMS)
 
 
 # ---- hazards --------------------------------------------------------------------------------------
@@ -168,7 +167,7 @@ def _(spark, d):
     doubles="est se", ints="imputation",
 )
 def _(spark, d):
-    return estimation.psm(scores(spark, d), 0.01).select("imputation", "est", "se")
+    return estimation.psm(scores(spark, d).persist(), 0.01).select("imputation", "est", "se")
 
 
 @query("e8_psm")
@@ -183,7 +182,7 @@ def _(spark, d):
     doubles="trim est se", ints="imputation",
 )
 def _(spark, d):
-    return estimation.iptw(scores(spark, d), TRIMS).select("imputation", "trim", "est", "se")
+    return estimation.iptw(scores(spark, d).persist(), TRIMS).select("imputation", "trim", "est", "se")
 
 
 @query("e9_iptw")
@@ -238,12 +237,12 @@ _EPS = f"""{TRIM_BOUNDS.strip()},
 
 
 def _steps(spark, d, replicates=0):
-    s = scores(spark, d)
+    s = scores(spark, d).persist()
     deep = trim_depth(s, trim_bounds(s, GROUP, TRIMS, "g"), GROUP, "g")
-    rows = deep.select(
+    rows = spread(deep.select(
         F.col("imputation").alias("group"), "depth", hash_long(1, *[F.col(k) for k in KEYS]).alias("row"),
         F.col("treatment").cast("double").alias("t"), F.col("outcome").cast("double").alias("y"), "g", "q0", "q1",
-    ).persist()
+    )).persist()
     groups = sorted(r.group for r in rows.select("group").distinct().collect())
     out = fluctuation(rows, groups, TRIMS, replicates)
     rows.unpersist()

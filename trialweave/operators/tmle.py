@@ -66,7 +66,9 @@ def _expit(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
 
 
-def _sums(rows: DataFrame, eps: dict[int, np.ndarray], replicates: int, means: bool) -> dict[tuple[int, int], np.ndarray]:
+def _sums(
+    rows: DataFrame, eps: dict[int, np.ndarray], replicates: int, means: bool, levels: set[tuple[int, int]]
+) -> dict[tuple[int, int], np.ndarray]:
     """One pass: per group, trim level and replicate the two sums the step needs.
 
     Replicate 0 counts each row once (the point estimate). ``means`` selects the sums of
@@ -86,7 +88,7 @@ def _sums(rows: DataFrame, eps: dict[int, np.ndarray], replicates: int, means: b
                 for grp in np.unique(c["group"]):
                     for j in range(eps[grp].shape[0]):
                         k = (c["group"] == grp) & (c["depth"] > j)
-                        if not k.any():
+                        if (grp, j) not in levels or not k.any():
                             continue
                         e, n = eps[grp][j][None, :], counts[k]
                         if means:
@@ -114,6 +116,11 @@ def _sums(rows: DataFrame, eps: dict[int, np.ndarray], replicates: int, means: b
     return {(r.group, r.level): r.sums.toArray() for r in out.collect()}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions by row hash, for passes that compute far more than they read."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
+
+
 def fluctuation(
     rows: DataFrame,
     groups: list[int],
@@ -134,30 +141,32 @@ def fluctuation(
     lo = {g: np.full(shape, -np.inf) for g in groups}
     hi = {g: np.full(shape, np.inf) for g in groups}
     done = {g: np.zeros(shape, dtype=bool) for g in groups}
+    every = {(g, j) for g in groups for j in range(shape[0])}
     for _ in range(max_passes):
-        sums = _sums(rows, eps, replicates, means=False)
-        for g in groups:
-            for j in range(shape[0]):
-                s = sums.get((g, j))
-                if s is None:
-                    done[g][j] = True
-                    continue
-                score, info = s[: replicates + 1], s[replicates + 1 : -1]
-                e = eps[g][j]
-                lo[g][j] = np.where(score > 0, np.maximum(lo[g][j], e), lo[g][j])
-                hi[g][j] = np.where(score < 0, np.minimum(hi[g][j], e), hi[g][j])
-                with np.errstate(all="ignore"):
-                    new = e + score / info
-                    wide = e + np.sign(score) * np.maximum(1.0, 2 * np.abs(e))
-                    middle = (lo[g][j] + hi[g][j]) / 2
-                inside = (new > lo[g][j]) & (new < hi[g][j])
-                new = np.where(inside, new, np.where(np.isfinite(middle), middle, wide))
-                new = np.where((score == 0) | done[g][j], e, new)
-                done[g][j] |= np.abs(new - e) <= tol * np.maximum(1.0, np.abs(new))
-                eps[g][j] = new
+        moving = {(g, j) for g, j in every if not done[g][j].all()}
+        sums = _sums(rows, eps, replicates, False, moving)
+        for g, j in moving:
+            s = sums.get((g, j))
+            if s is None:
+                done[g][j] = True
+                continue
+            score, info = s[: replicates + 1], s[replicates + 1 : -1]
+            e = eps[g][j]
+            lo[g][j] = np.where(score > 0, np.maximum(lo[g][j], e), lo[g][j])
+            hi[g][j] = np.where(score < 0, np.minimum(hi[g][j], e), hi[g][j])
+            with np.errstate(all="ignore"):
+                new = e + score / info
+                wide = e + np.sign(score) * np.maximum(1.0, 2 * np.abs(e))
+                middle = (lo[g][j] + hi[g][j]) / 2
+            small = np.abs(new - e) <= tol * np.maximum(1.0, np.abs(e))
+            inside = small | ((new > lo[g][j]) & (new < hi[g][j]))
+            new = np.where(inside, new, np.where(np.isfinite(middle), middle, wide))
+            new = np.where((score == 0) | done[g][j], e, new)
+            done[g][j] |= small | (score == 0)
+            eps[g][j] = new
         if all(d.all() for d in done.values()):
             break
-    sums = _sums(rows, eps, replicates, means=True)
+    sums = _sums(rows, eps, replicates, True, every)
     out = []
     for g in groups:
         for j, trim in enumerate(sorted(trims)):

@@ -23,15 +23,13 @@ def trim_bounds(
     """Per group and trim level: lowest kept treated score, highest kept control score."""
     probs = sorted({p for t in trims for p in (t, 1.0 - t)})
     q = exact_quantiles(df, [*groups, treatment], score, probs)
-    lower = q.filter(F.col(treatment) == 1).select(*groups, F.col("prob").alias("trim"), F.col("value").alias("lower"))
-    upper = q.filter(F.col(treatment) == 0).select(*groups, F.col("prob").alias("__q"), F.col("value").alias("upper"))
     pairs = F.array(*[F.struct(F.lit(float(t)).alias("trim"), F.lit(1.0 - t).alias("__q")) for t in trims])
+    treated, value = F.col(treatment) == 1, F.col("value")
     return (
-        df.sparkSession.range(1)
-        .select(F.inline(pairs))
-        .join(lower, "trim")
-        .join(upper, ["__q", *groups])
-        .select(*groups, "trim", "lower", "upper")
+        q.select("*", F.inline(pairs))
+        .filter(F.col("prob") == F.when(treated, F.col("trim")).otherwise(F.col("__q")))
+        .groupBy(*groups, "trim")
+        .agg(F.max(F.when(treated, value)).alias("lower"), F.max(F.when(~treated, value)).alias("upper"))
     )
 
 

@@ -188,4 +188,5 @@ def estimate(
 
 def effects(completed: DataFrame, spec: AnalysisSpec = AnalysisSpec()) -> DataFrame:
     """Pooled ratios with intervals, one row per method and trim level."""
-    return report(estimate(completed, spec))
+    # The estimates are a few rows per imputation, read twice by the report.
+    return report(estimate(completed, spec).persist())

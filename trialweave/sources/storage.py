@@ -58,11 +58,10 @@ def read_prescriptions(spark: SparkSession, folder: str, drugs: tuple[str, ...]
 def write_cohort(cohort: DataFrame, path: str) -> None:
     """One dataset for all trials, one partition folder per trial start.
 
-    Rows are gathered by trial start plus a spread number, so a trial is written by several
-    tasks and no task writes many small files.
+    Rebalancing gathers a trial's rows into few files and lets adaptive execution split a
+    trial that is too large for one task.
     """
-    spread = F.pmod(F.xxhash64("patid"), F.lit(16))
-    cohort.repartition("trial_start", spread).write.mode("overwrite").partitionBy("trial_start").parquet(path)
+    cohort.hint("rebalance", "trial_start").write.mode("overwrite").partitionBy("trial_start").parquet(path)
 
 
 def read_cohort(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -77,7 +76,7 @@ def read_glob(spark: SparkSession, pattern: str) -> DataFrame:
 
 def write_completed(completed: DataFrame, path: str) -> None:
     """All completed data sets, one partition folder per imputation."""
-    completed.write.mode("overwrite").partitionBy("imputation").parquet(path)
+    completed.hint("rebalance", "imputation").write.mode("overwrite").partitionBy("imputation").parquet(path)
 
 
 def read_completed(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

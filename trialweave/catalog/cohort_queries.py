@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trialweave.catalog.base import (
-    MEASURES, TRIM_BOUNDS, cohort, eligible_trials, followed, gappy, query, raw, scores, scratch, small_cohort,
+    MEASURES, cohort, eligible_trials, followed, gappy, query, raw, scores, scratch, small_cohort,
 )
 from trialweave.functions.scalars import as_date, as_level, as_number, clip, expit, logit, one_of
 from trialweave.operators import impute, prep

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import mixing
+from trialweave.llm import bpe, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +33,12 @@ def op9(spark, sf_dir):
     rows = plan.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", taken)
+
+
+@query("op4_bpe_codec")
+def op4(spark, sf_dir):
+    import public_tokenizers as vocabularies
+
+    path = vocabularies.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, path, vocabularies.PATTERN, with_ids=False)

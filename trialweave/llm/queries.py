@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import bpe, mixing
+from trialweave.llm import bpe, mixing, unigram, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,28 @@ def op4(spark, sf_dir):
     path = vocabularies.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, path, vocabularies.PATTERN, with_ids=False)
+
+
+@query(
+    "op2_warc_archives",
+    """
+    with p as (select page_id, coalesce(html, '') as h from pages),
+    d as (select page_id, cast(strlen(h) as bigint) as payload_bytes, sha1(h) as payload_digest from p),
+    m as (select *, max(page_id) over (partition by payload_digest) as top from d)
+    select page_id, payload_bytes, payload_digest,
+      case when payload_bytes >= 1000 and page_id is distinct from top then 'revisit' else 'response' end as record_type,
+      case when payload_bytes >= 1000 and page_id is distinct from top then top end as refers_to, true as digest_ok
+    from m""",
+)
+def op2(spark, sf_dir):
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_archives(archives, with_payload=False)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+@query("op7_token_counts")
+def op7(spark, sf_dir):
+    import public_tokenizers as vocabularies
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.count_tokens(docs, vocabularies.path("piece_bpe_32k.model"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import bpe, mixing, unigram, warc
+from trialweave.llm import bpe, langid, mixing, quality, unigram, warc
+from trialweave.llm.shared import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +68,17 @@ def op7(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return unigram.count_tokens(docs, vocabularies.path("piece_bpe_32k.model"))
+
+
+@query("op6_quality")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op8_language")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    net = langid.train(docs)
+    return langid.predict(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 _M64 = (1 << 64) - 1
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -191,7 +192,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_id
     kept = [c for c in docs.columns if c not in (text, *new)]
     schema = docs.select(kept).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import bpe, langid, mixing, quality, unigram, warc
+from trialweave.llm import bpe, hnsw, knn, langid, mixing, quality, unigram, warc
 from trialweave.llm.shared import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,26 @@ def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     net = langid.train(docs)
     return langid.predict(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op5_exact_top_k",
+    """
+    with v as (
+      select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+      where vec_id is not null and embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (
+      select q.vec_id as query_id, d.vec_id, cast(list_inner_product(q.e, d.e) as bigint) as score
+      from v q join v d on q.vec_id % 50 = 0 and q.vec_id <> d.vec_id)
+    select query_id, cast(rank as integer) as rank, vec_id, score from (
+      select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+    where rank <= 5""",
+)
+def op5(spark, sf_dir):
+    return knn.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+@query("op10_nearest_neighbours")
+def op10(spark, sf_dir):
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)

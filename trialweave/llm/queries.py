@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import bpe, hnsw, knn, langid, mixing, quality, unigram, warc
+from trialweave.llm import bpe, hnsw, knn, langid, minhash, mixing, quality, unigram, warc
 from trialweave.llm.shared import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def op5(spark, sf_dir):
 @query("op10_nearest_neighbours")
 def op10(spark, sf_dir):
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+@query("op1_near_duplicates")
+def op1(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import bpe, hnsw, knn, langid, minhash, mixing, quality, unigram, warc
+from trialweave.llm import bpe, hnsw, knn, langid, minhash, mixing, quality, substring, unigram, warc
 from trialweave.llm.shared import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def op10(spark, sf_dir):
 @query("op1_near_duplicates")
 def op1(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+@query("op3_repeated_passages")
+def op3(spark, sf_dir):
+    return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)

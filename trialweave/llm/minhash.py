@@ -220,3 +220,14 @@ def _apart(rest: DataFrame, known: DataFrame) -> DataFrame:
     rows = rest.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     return rows.join(mixed, "key", "left_semi")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row with the smallest key, once.
+
+    Rows with a null key cannot be told apart from others and all stay.
+    """
+    names = near_duplicates(docs, key, text, **options).filter("kept").select(F.col(key).alias("__key")).distinct()
+    rows = docs.withColumn("__th", F.xxhash64(text))
+    stay = rows.join(names, F.col(key).cast("long") == F.col("__key"), "left_semi").dropDuplicates([key, "__th"])
+    return stay.unionByName(rows.filter(F.col(key).isNull())).select(*docs.columns)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.scalars import hash_uniform
 from trialweave.operators import logistic, prep
-from trialweave.operators.cox import cox, risk_table
+from trialweave.operators.cox import _efron, cox, risk_table
 from trialweave.operators.impute import donor_draw
 from trialweave.operators.matching import nearest_controls
-from trialweave.operators.ordering import exact_quantiles, numbered, sorted_neighbours
+from trialweave.operators.ordering import exact_quantiles, numbered, sorted_neighbours, with_buckets
 from trialweave.operators.pool import pooled, report
 from trialweave.operators.tmle import _poisson_counts, fluctuation
 from trialweave.operators.weights import trim_bounds, trim_depth, trimmed_rows
@@ -28,12 +28,12 @@ def skewed():
     return pd.DataFrame({"id": np.arange(3000), "g": rng.integers(0, 2, 3000), "s": s, "don": rng.random(3000) < 0.3})
 
 
-@pytest.mark.parametrize("k,buckets", [(1, 64), (5, 64), (5, 1)])
-def test_neighbours_equal_brute_force(spark, skewed, k, buckets):
+@pytest.mark.parametrize("k,rows", [(1, 50), (5, 50), (5, 10_000)])
+def test_neighbours_equal_brute_force(spark, skewed, k, rows):
     df = spark.createDataFrame(skewed).withColumns(
         {"u": hash_uniform(1, F.col("id")), "donor": F.when(F.col("don"), F.struct("id"))}
     )
-    out = sorted_neighbours(df, ["g"], "s", "donor", "u", k, buckets).toPandas()
+    out = sorted_neighbours(df, ["g"], "s", "donor", "u", k, rows).toPandas()
     assert len(out) == (~skewed.don).sum()
     for r in out.itertuples():
         want = np.sort(np.abs(skewed[(skewed.g == r.g) & skewed.don].s - r.s))[:k]
@@ -42,6 +42,32 @@ def test_neighbours_equal_brute_force(spark, skewed, k, buckets):
         assert len({x["donor"]["id"] for x in near}) == len(near)
 
 
+def test_places_are_bounded_by_buckets(spark):
+    """Few distinct scores: sub-buckets follow a score's share."""
+    df = spark.range(20_000).select((F.col("id") % 200 / 200.0).alias("s"), hash_uniform(1, F.col("id")).alias("u"))
+    places = with_buckets(df, "s", "u", 100).select("__bucket", "__sub").distinct().count()
+    assert 100 <= places <= 2 * 200
+
+
+def test_tied_deaths_equal_their_slices():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 17, 400):
+        d, w1, w0, d1 = np.full(5, float(n)), rng.random(5) * 3 * n + n, rng.random(5) * 9 * n + n, rng.random(5) * n
+        for b in (-1.0, 0.0, 2.0):
+            x1 = [(w1 - k / n * d1) * np.exp(b) for k in range(n)]
+            q = [x / (x + w0 - k / n * (d - d1)) for k, x in enumerate(x1)]
+            want = [sum(v.sum() for v in q), sum((v * (1 - v)).sum() for v in q)]
+            assert np.allclose(_efron(d, d, w1, w0, d1, d - d1, b), want, rtol=1e-12)
+
+
+def test_an_estimate_that_has_not_settled_is_null(spark):
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"group": 1, "depth": 1, "row": np.arange(500), "t": rng.integers(0, 2, 500) * 1.0, "y": rng.integers(0, 2, 500) * 1.0, "g": 0.5, "q0": 0.05, "q1": 0.04})
+    df = spark.createDataFrame(pdf).withColumns({c: F.col(c).cast("int") for c in ("group", "depth")})
+    (one,) = fluctuation(df, [1], (0.01,), 0, max_passes=1)
+    assert one[2:] == (None, None, None, "not converged")
+
+
 def test_quantiles_and_numbering(spark, skewed):
     df = spark.createDataFrame(skewed)
     for r in exact_quantiles(df, ["g"], "s", [0.0, 0.05, 0.5, 0.99, 1.0]).collect():

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.scalars import hash_long, hash_uniform
 from trialweave.operators.logistic import EVERY_GROUP
-from trialweave.operators.ordering import BUCKETS, numbered, sorted_neighbours
-from trialweave.operators.prep import MAX_LEVELS, quoted
+from trialweave.operators.ordering import ROWS_PER_BUCKET, numbered, sorted_neighbours
+from trialweave.operators.prep import quoted
 
 # Donors considered per missing value, ridge of the linear draw.
 DONORS = 5
@@ -85,7 +85,7 @@ class Variable:
 def variables(df: DataFrame, numeric: list[str], categories: list[str]) -> list[Variable]:
     """Inspect all modelled columns in two jobs."""
     n = {}
-    for r in level_counts(df, categories).limit(len(categories) * MAX_LEVELS + 1).collect():
+    for r in level_counts(df, categories).collect():
         n.setdefault(r["name"], {})[r["level"]] = r["n"]
     stats = df.agg(
         F.count(F.lit(1)).alias("__rows"),
@@ -99,8 +99,6 @@ def variables(df: DataFrame, numeric: list[str], categories: list[str]) -> list[
     for c in categories:
         seen = n.get(c, {})
         lev = sorted(v for v in seen if v is not None)
-        if len(lev) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels and cannot be a category")
         cnt = tuple(seen[v] for v in lev)
         out.append(Variable(c, False, seen.get(None, 0), sum(cnt), tuple(lev), cnt))
     for c in numeric:
@@ -214,7 +212,7 @@ def donor_draw(
     keys: list[str],
     seed: int,
     k: int = DONORS,
-    buckets: int = BUCKETS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Give each asking row the value of one of its ``k`` nearest donors.
 
@@ -237,7 +235,7 @@ def donor_draw(
         hash_uniform(seed + 1, *mine).alias("__u"),
         "me",
     )
-    found = sorted_neighbours(d.unionByName(a), groups, "score", "donor", "__u", k, buckets)
+    found = sorted_neighbours(d.unionByName(a), groups, "score", "donor", "__u", k, rows_per_bucket)
     # At most 2k candidates; the k nearest of them are the k nearest of all donors.
     near = F.slice(
         F.array_sort(

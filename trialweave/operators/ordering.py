@@ -10,43 +10,40 @@ on the number of buckets, never on the data.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-BUCKETS = 512
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 20_000
 
 
-def buckets_for(rows: int) -> int:
-    """Bucket count for a known number of rows; one bucket when the rows fit a single sort."""
-    return max(1, min(BUCKETS, rows // ROWS_PER_BUCKET))
+def with_buckets(df: DataFrame, score: str, tiebreak: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add ``__bucket`` and ``__sub``; (bucket, sub) order agrees with (score, tiebreak) order.
 
-
-def with_buckets(df: DataFrame, score: str, tiebreak: str | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``__bucket`` and ``__sub``; (bucket, sub) order agrees with (score, tiebreak) order."""
-    if buckets == 1:
-        return df.withColumns({"__bucket": F.lit(0), "__sub": F.lit(0)})
+    The number of buckets follows from the number of rows. A value that fills several quantiles has as many
+    sub-buckets, so there are at most two times as many places as buckets.
+    """
+    buckets = max(1, -(-df.count() // rows_per_bucket))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(score, probs, 10 * buckets)).first()[0] or []
-    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    cuts = (df.agg(F.percentile_approx(score, probs, 10 * buckets)).first()[0] or []) if probs else []
+    hot = {v: n + 1 for v, n in Counter(cuts).items() if n > 1}
     inner = sorted({*cuts, *(math.nextafter(v, math.inf) for v in hot)})
     if not inner:
         return df.withColumns({"__bucket": F.lit(0), "__sub": F.lit(0)})
     splits = [-math.inf, *inner, math.inf]
     out = Bucketizer(splits=splits, inputCol=score, outputCol="__bucket").transform(df)
     out = out.withColumn("__bucket", F.col("__bucket").cast("int"))
-    sub = F.lit(0)
-    if hot and tiebreak is not None:
-        own = [splits.index(v) for v in hot]
-        sub = F.when(F.col("__bucket").isin(own), F.floor(F.col(tiebreak) * buckets).cast("int")).otherwise(0)
-    return out.withColumn("__sub", sub)
+    if not hot or tiebreak is None:
+        return out.withColumn("__sub", F.lit(0))
+    parts = F.lit([hot.get(v, 1) for v in splits])
+    return out.withColumn("__sub", F.floor(F.col(tiebreak) * F.get(parts, F.col("__bucket"))).cast("int"))
 
 
 def sorted_neighbours(
-    df: DataFrame, groups: list[str], score: str, donor: str, tiebreak: str, k: int, buckets: int = BUCKETS
+    df: DataFrame, groups: list[str], score: str, donor: str, tiebreak: str, k: int, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """For every non-donor row, its k nearest donors below and above in score order.
 
@@ -56,7 +53,7 @@ def sorted_neighbours(
     """
     place = [*groups, "__bucket", "__sub"]
     df = df.withColumn("__d", F.when(F.col(donor).isNotNull(), F.struct(F.col(score).alias("score"), F.col(donor).alias("donor"))))
-    df = with_buckets(df, score, tiebreak, buckets)
+    df = with_buckets(df, score, tiebreak, rows_per_bucket)
 
     def shifted(fn: str, by: str, order: str) -> Column:
         over = f"over (partition by {by} order by {order})"
@@ -73,8 +70,6 @@ def sorted_neighbours(
         shifted("lead", by, order).alias("above"),
         F.row_number().over(Window.partitionBy(*place).orderBy(score, tiebreak)).alias("__nth"),
     )
-    if buckets == 1:
-        return rows.filter(F.col("__d").isNull()).drop("__d", "__bucket", "__sub", "__nth", donor)
 
     edge = F.col("__d").isNotNull() & ((F.size("below") < k) | (F.size("above") < k))
     marks = F.array(
@@ -109,10 +104,10 @@ def sorted_neighbours(
             F.first(F.when(F.col("pos") == 2, F.col("lead")), ignorenulls=True).alias("__after"),
         )
     )
-    # The halo has one row per bucket: bounded by the bucket count, so it may be broadcast.
+    # One row per group and place; whether that is few enough to be broadcast is decided by its size when it runs.
     return (
         rows.filter(F.col("__d").isNull())
-        .join(F.broadcast(halo), place, "left")
+        .join(halo, place, "left")
         .withColumns(
             {
                 "below": F.slice(F.concat("below", F.coalesce("__before", F.array())), 1, k),
@@ -124,14 +119,14 @@ def sorted_neighbours(
 
 
 def exact_quantiles(
-    df: DataFrame, groups: list[str], score: str, probs: list[float], buckets: int = BUCKETS
+    df: DataFrame, groups: list[str], score: str, probs: list[float], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Exact quantiles with linear interpolation per group: ``groups, prob, value``.
 
     Bucket counts tell which buckets hold the wanted ranks; only those buckets are then
     reduced to distinct values and ordered.
     """
-    rows = with_buckets(df.select(*groups, score).filter(F.col(score).isNotNull()), score, None, buckets).drop("__sub")
+    rows = with_buckets(df.select(*groups, score).filter(F.col(score).isNotNull()), score, None, rows_per_bucket).drop("__sub")
     running = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
     counts = rows.groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     counts = counts.select(

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from trialweave.functions.scalars import as_date, as_level, as_number
 from trialweave.study import AnalysisSpec
 
-MAX_LEVELS = 1000
-
 
 def _sql_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -52,14 +50,10 @@ def with_followup(df: DataFrame, spec: AnalysisSpec = AnalysisSpec(), event_rule
 
 
 def levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Sorted levels of each category. One job; its result is bounded by ``MAX_LEVELS``."""
+    """Sorted levels of each category. One job; its result is as long as the list of dummy columns."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), as_level(F.col(c)).alias("level")) for c in columns])
-    rows = df.select(F.inline(pairs)).distinct().limit(len(columns) * MAX_LEVELS + 1).collect()
-    out = {c: sorted(r.level for r in rows if r.name == c) for c in columns}
-    for c, ls in out.items():
-        if len(ls) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels and cannot be a category")
-    return out
+    rows = df.select(F.inline(pairs)).distinct().collect()
+    return {c: sorted(r.level for r in rows if r.name == c) for c in columns}
 
 
 def one_hot(df: DataFrame, levels_by_column: dict[str, list[str]]) -> DataFrame:

@@ -128,14 +128,17 @@ def fluctuation(
     replicates: int = 200,
     tol: float = 1e-9,
     max_passes: int = 30,
+    replicate_tol: float = 1e-6,
 ) -> list[tuple[int, float, float | None, float | None, float | None, str]]:
     """``(group, trim, eps, log risk ratio, its bootstrap SE, status)`` for all trim levels.
 
     ``rows``: ``group, depth, row (hash), t, y, g, q0, q1``; read once per pass for all levels
     and replicates together. The driver holds one number per group, level and replicate.
     Replicates weight rows by Poisson(1) counts, the large-sample form of drawing rows with
-    replacement. Newton steps that leave the bracket known from earlier signs are bisected.
+    replacement. Newton steps that leave the bracket known from earlier signs are bisected. An estimate that has
+    not settled after ``max_passes`` is NULL; replicates that have not do not count for the error.
     """
+    close = np.array([tol] + [replicate_tol] * replicates)
     shape = (len(trims), replicates + 1)
     eps = {g: np.zeros(shape) for g in groups}
     lo = {g: np.full(shape, -np.inf) for g in groups}
@@ -158,7 +161,7 @@ def fluctuation(
                 new = e + score / info
                 wide = e + np.sign(score) * np.maximum(1.0, 2 * np.abs(e))
                 middle = (lo[g][j] + hi[g][j]) / 2
-            small = np.abs(new - e) <= tol * np.maximum(1.0, np.abs(e))
+            small = np.abs(new - e) <= close * np.maximum(1.0, np.abs(e))
             inside = small | ((new > lo[g][j]) & (new < hi[g][j]))
             new = np.where(inside, new, np.where(np.isfinite(middle), middle, wide))
             new = np.where((score == 0) | done[g][j], e, new)
@@ -176,10 +179,13 @@ def fluctuation(
                 continue
             with np.errstate(all="ignore"):
                 rr = s[: replicates + 1] / s[replicates + 1 : -1]
+            if not done[g][j][0]:
+                out.append((g, float(trim), None, None, None, "not converged"))
+                continue
             if not np.isfinite(rr[0]) or rr[0] <= 0:
                 out.append((g, float(trim), None, None, None, "no risk ratio"))
                 continue
-            usable = rr[1:][np.isfinite(rr[1:]) & (rr[1:] > 0)]
+            usable = rr[1:][np.isfinite(rr[1:]) & (rr[1:] > 0) & done[g][j][1:]]
             enough = replicates > 1 and len(usable) >= replicates / 2
             se = float(np.std(np.log(usable), ddof=1)) if enough else None
             status = "ok" if enough else "too few usable replicates"

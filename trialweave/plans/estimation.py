@@ -29,7 +29,7 @@ def model_frame(completed: DataFrame, spec: AnalysisSpec = AnalysisSpec()) -> tu
     """Keys, arm ``t``, outcome ``y``, time and the scaled feature array ``x``; feature names."""
     if "imputation" not in completed.columns:
         completed = completed.withColumn("imputation", F.lit(1))
-    frame = prep.analysis_frame(completed, spec)
+    frame = prep.analysis_frame(completed, spec, spec.event_rule)
     feats = prep.features(frame, spec)
     frame = prep.standardised(frame, feats, GROUP).select(
         F.col("imputation").cast("int").alias("imputation"),
@@ -107,7 +107,7 @@ def scored(frame: DataFrame, p: int, spec: AnalysisSpec, methods: tuple[str, ...
         return b[0].tolist() if b is not None and np.isfinite(b).all() else None
 
     # One row per imputation and fold: bounded, so broadcast.
-    names = [n for n, on in (("ps", len(tasks) != 3 * spec.folds), ("g", cross), ("q0", cross), ("q1", cross)) if on]
+    names = [n for n, on in (("ps", any(t.name == "ps" for t in tasks)), ("g", cross), ("q0", cross), ("q1", cross)) if on]
     rows = [
         (g, f, *[coef(g, n if n == "ps" else f"{n}{f}") for n in names])
         for g in groups
@@ -122,17 +122,20 @@ def scored(frame: DataFrame, p: int, spec: AnalysisSpec, methods: tuple[str, ...
 
 
 def psm(scores: DataFrame, caliper: float) -> DataFrame:
+    """One row per imputation; without any pair within the caliper it has no estimate."""
     pairs = nearest_controls(scores, GROUP, list(KEY), caliper, ["time", "outcome"])
     sample = matched_sample(pairs, GROUP, ["time", "outcome"])
-    return _as_result(cox(risk_table(sample, GROUP, "time", "outcome", "treatment"), GROUP), "PSM")
+    found = _as_result(cox(risk_table(sample, GROUP, "time", "outcome", "treatment"), GROUP), "PSM")
+    return _every(found, scores, "PSM", [None], "no matched pair")
 
 
 def iptw(scores: DataFrame, trims: tuple[float, ...]) -> DataFrame:
+    """One row per imputation and trim level; one without rows left has no estimate."""
     bounds = trim_bounds(scores, GROUP, trims)
     deep = trim_depth(stabilised_weights(scores, GROUP), bounds, GROUP)
     table = risk_table(deep, [*GROUP, "depth"], "time", "outcome", "treatment", F.col("w"))
     table = by_trim(table, GROUP, ["time", "event", "arm"], SUMS, trims)
-    return _as_result(cox(table, [*GROUP, "trim"]), "IPTW")
+    return _every(_as_result(cox(table, [*GROUP, "trim"]), "IPTW"), scores, "IPTW", sorted(trims), "no rows")
 
 
 def cv_tmle(scores: DataFrame, spec: AnalysisSpec) -> DataFrame:
@@ -166,12 +169,38 @@ def _as_result(fits: DataFrame, method: str) -> DataFrame:
     return fits.select("imputation", F.lit(method).alias("method"), trim.alias("trim"), "est", "se", "status")
 
 
+def _every(found: DataFrame, scores: DataFrame, method: str, trims: list[float | None], status: str) -> DataFrame:
+    """Results for all imputations and trim levels; those that are missing get the status."""
+    levels = scores.sparkSession.createDataFrame([(t,) for t in trims], "trim double")
+    asked = scores.select(F.col("imputation").cast("int").alias("imputation")).distinct().crossJoin(levels).alias("asked")
+    found = found.alias("found")
+    same = (F.col("asked.imputation") == F.col("found.imputation")) & F.col("asked.trim").eqNullSafe(F.col("found.trim"))
+    return asked.join(found, same, "left").select(
+        "asked.imputation", F.lit(method).alias("method"), "asked.trim", "found.est", "found.se", F.coalesce("found.status", F.lit(status)).alias("status")
+    )
+
+
+def _with_model_status(results: DataFrame, status: dict[tuple[int, str], str]) -> DataFrame:
+    """Say in each result which of the models behind it failed; a result of a failed model has no estimate."""
+    rows = {}
+    for (g, task), said in status.items():
+        if said != "ok":
+            for method in ("PSM", "IPTW") if task == "ps" else ("CV-TMLE",):
+                rows.setdefault((g, method), set()).add(f"{'propensity' if task == 'ps' else 'nuisance'} model: {said}")
+    if not rows:
+        return results
+    table = results.sparkSession.createDataFrame([(*k, "; ".join(sorted(v))) for k, v in rows.items()], "imputation int, method string, failed string")
+    kept = {c: F.when(F.col("failed").isNull(), F.col(c)) for c in ("est", "se")}
+    out = results.join(table, ["imputation", "method"], "left").withColumns(kept)
+    return out.withColumn("status", F.coalesce("failed", "status")).select("imputation", "method", "trim", "est", "se", "status")
+
+
 def estimate(
     completed: DataFrame, spec: AnalysisSpec = AnalysisSpec(), methods: tuple[str, ...] = METHODS
 ) -> DataFrame:
-    """Estimates of every method, imputation and trim level, on the log scale."""
+    """Estimates of every method, imputation and trim level, on the log scale; failed ones are NULL with a status."""
     frame, feats = model_frame(completed, spec)
-    scores, _ = scored(frame, len(feats), spec, methods)
+    scores, status = scored(frame, len(feats), spec, methods)
     scores = scores.persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
     if "PSM" in methods:
@@ -183,7 +212,7 @@ def estimate(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return _with_model_status(out, status)
 
 
 def effects(completed: DataFrame, spec: AnalysisSpec = AnalysisSpec()) -> DataFrame:

@@ -113,6 +113,7 @@ class AnalysisSpec:
     folds: int = 5
     replicates: int = 200
     seed: int = 1234
+    event_rule: str = "flag"
 
     @property
     def columns(self) -> list[str]:

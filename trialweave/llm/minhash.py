@@ -27,8 +27,8 @@ from trialweave.llm.words import Words, mix, slices
 
 TOKENS = 64
 TREES = 5
-#: Depth of the first nodes that are looked at (those above are never small), and of the last.
-FIRST, LAST = 3, 5
+#: Depth of the first nodes that are looked at, and of the last.
+FIRST, LAST = 2, 5
 #: Documents of a node whose pairs are all compared; pivots of a larger node, and rounds of them.
 SMALL = 32
 PIVOTS, ROUNDS = 12, 3
@@ -93,13 +93,26 @@ def _features(width: int):
     return run
 
 
-def _paths(depth: int) -> Column:
-    """The nodes of a document at a depth, with their parents, over all trees."""
-    token = lambda t, q: f"tokens[{_ORDER[t][q % TOKENS]}]"
-    trail = lambda t, q: ", ".join(token(t, q >> k) for k in range(q.bit_length() - 2, -1, -1))
-    node = lambda t, q: f"xxhash64({t}, {q}, {trail(t, q)})"
-    nodes = [f"struct({node(t, q)} as key, {node(t, q >> 1)} as parent)" for t in range(TREES) for q in range(1 << depth, 2 << depth)]
-    return F.expr(f"inline(array({', '.join(nodes)}))")
+def _nodes(depth: int):
+    """The nodes of each document at a depth, with their parents, over all trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = b.column("tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint32).reshape(-1, TOKENS).astype(np.uint64)
+            keys, parents = [], []
+            for tree in range(TREES):
+                name = {1: np.full(len(t), tree, np.uint64)}
+                for q in range(2, 2 << depth):
+                    token = t[:, _ORDER[tree][q % TOKENS]]
+                    name[q] = mix(mix(name[q >> 1] * _C[0] + np.uint64(q)) ^ token)
+                leaves = range(1 << depth, 2 << depth)
+                keys += [name[q] for q in leaves]
+                parents += [name[q >> 1] for q in leaves]
+            row = pa.array(np.tile(np.arange(len(t)), len(keys)))
+            columns = [*(b.column(c).take(row) for c in ("rep", "n", "high", "low")), *(pa.array(np.concatenate(k).view(np.int64)) for k in (keys, parents))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "high", "low", "key", "parent"])
+
+    return run
 
 
 def _alike(a: str, b: str, share: tuple[int, int]) -> Column:
@@ -164,27 +177,26 @@ def near_duplicates(
     )
     reps = steps.write(same)
 
-    small, rest, parents = [], [], None
+    small, rest, inside = [], None, reps
     for depth in range(FIRST, LAST + 1):
-        nodes = reps.select("rep", "n", "high", "low", _paths(depth))
-        if parents is not None:
-            nodes = nodes.join(parents, "parent", "left_semi")
+        nodes = inside.select("rep", "n", "high", "low", "tokens").mapInArrow(_nodes(depth), "rep long, n long, high long, low long, key long, parent long")
+        if rest is not None:
+            nodes = nodes.join(rest.select(F.col("key").alias("parent")).distinct(), "parent", "left_semi")
         nodes = nodes.drop("parent")
-        sizes = steps.write(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-        a, b = (nodes.join(sizes.filter(f"size <= {SMALL}"), "key", "left_semi").alias(x) for x in ("a", "b"))
+        sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        shared = steps.write(nodes.join(sizes, "key"))
+        a, b = (shared.filter(f"size <= {SMALL}").alias(x) for x in ("a", "b"))
         pairs = a.join(b, "key").filter("a.rep < b.rep").filter(_alike("a", "b", share))
         small.append(steps.write(pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()))
-        large = sizes.filter(f"size > {SMALL}").select("key")
-        if depth == LAST:
-            rest.append(steps.write(nodes.join(large, "key", "left_semi")))
-        elif large.isEmpty():
+        rest = steps.write(shared.filter(f"size > {SMALL}").drop("size"))
+        steps.drop(shared)
+        if depth == LAST or rest.isEmpty():
             break
-        parents = large.withColumnRenamed("key", "parent")
+        inside = reps.join(rest.select("rep").distinct(), "rep", "left_semi")
     pairs = reduce(DataFrame.unionByName, small)
 
     links, known = None, None
-    if rest:
-        rest = rest[0]
+    if not rest.isEmpty():
         for turn in range(ROUNDS + 1):
             apart = rest if known is None else _apart(rest, known)
             if known is not None and apart.isEmpty():

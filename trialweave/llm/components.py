@@ -15,7 +15,7 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
     longest chain. A node with many links is never gathered: its minimum is pre-aggregated and joined back.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
-    edges, mark = steps.write(edges), None
+    edges = steps.write(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -24,11 +24,13 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = steps.write(small.distinct())
-        now = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        # Done when every node has one edge down and none ends where another begins: a star for each component.
+        roles = new.select("u", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(new.select("v", F.lit(0), F.lit(1)).toDF("u", "down", "up"))
+        more = roles.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down = 1 and up = 1)")
+        done = more.isEmpty()
         steps.drop(edges, large)
         edges = new
-        if (now.n, now.s) == mark:
+        if done:
             break
-        mark = (now.n, now.s)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -28,10 +28,10 @@ from trialweave.llm.words import Words, mix, slices
 TOKENS = 64
 TREES = 5
 #: Depth of the first nodes that are looked at, and of the last.
-FIRST, LAST = 2, 5
+FIRST, LAST = 2, 3
 #: Documents of a node whose pairs are all compared; pivots of a larger node, and rounds of them.
 SMALL = 32
-PIVOTS, ROUNDS = 12, 3
+PIVOTS, ROUNDS = 16, 2
 #: Sketch positions, of 64 with two bits each, in which a pair may differ; 9.6 are expected at similarity 0.8.
 DIFFER = 28
 PARTNERS = 256
@@ -197,6 +197,9 @@ def near_duplicates(
 
     links, known = None, None
     if not rest.isEmpty():
+        # A pair that shares several nodes is looked at in the smallest of them only; a document has few nodes.
+        rest = steps.write(rest.join(rest.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys")), "rep"))
+        once = F.expr("array_min(array_intersect(a.keys, b.keys)) = a.key")
         for turn in range(ROUNDS + 1):
             apart = rest if known is None else _apart(rest, known)
             if known is not None and apart.isEmpty():
@@ -208,10 +211,11 @@ def near_duplicates(
                 more = first.alias("a").join(apart.alias("b"), "key").filter("a.rep <> b.rep")
             else:
                 more = apart.alias("a").join(apart.alias("b"), "key").filter("a.rep < b.rep")
-            more = more.filter(far & _alike("a", "b", share)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+            more = more.filter(far & _alike("a", "b", share) & once).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
             if turn == 0:
                 more = more.unionByName(pairs)
             found = _verify(steps.write(more.distinct()), docs, width, share, steps)
+            steps.release()
             links = found if links is None else links.unionByName(found)
             known = steps.write(components(links, steps))
     else:

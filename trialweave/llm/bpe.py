@@ -24,8 +24,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 _M64 = (1 << 64) - 1
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Pieces a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1 << 20
+#: Pieces a worker remembers in a task; beyond it the memory starts anew.
+REMEMBERED = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -156,7 +156,7 @@ class Codec:
             return ""
         cut = text.split(" ") if self.plain(text) else self.blank.split(text)
         if len(self.seen) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.seen, self.parts = {}, {}
+            self.forget()
         seen = self.seen
         out = [self.piece(cut[0])]
         for c in cut[1:]:
@@ -166,6 +166,10 @@ class Codec:
             out.append(ids)
         return ",".join(out)
 
+    def forget(self) -> None:
+        """Workers outlive a task, and what comes next needs their memory."""
+        self.seen, self.parts = {}, {}
+
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.split(","))) if ids else b""
 
@@ -211,5 +215,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", with_id
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        c.forget()
 
     return docs.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ KEYS = [
     "t3_whole_cohort", "j1_measures_in_window", "j2_drugs_in_window", "j7_latest_measure", "j8_nearest_match",
     "a1_distinct_use", "a6_quantiles", "w1_last_per_month", "e4_propensity_one_feature", "e6_trimmed_rows",
     "e7_cox_weighted", "e10_fold_sizes", "e13_fluctuation", "e17_pooling", "m3_method_map", "m4_first_fill",
-    "m5_nearest_donors", "r4_person_periods", "r5_first_event",
+    "m5_nearest_donors", "m5_matched_draw", "p4_subtype_filter", "p12_coerce", "e8_psm_without_pairs", "r4_person_periods", "r5_first_event",
 ]
 
 

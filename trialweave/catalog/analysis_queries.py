@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialweave.catalog.base import PAIRS, TRIM_BOUNDS, cox_sql, filled, followed, query, scores, small_cohort
+from trialweave.catalog.base import PAIRS, TRIM_BOUNDS, TRIM_LIST, cox_sql, filled, followed, query, scores, small_cohort
 from trialweave.functions.scalars import hash_long
 from trialweave.operators import logistic, panel, prep
 from trialweave.operators.cox import cox, risk_table
@@ -104,11 +104,23 @@ def _(spark, d):
     return spark.createDataFrame(rows, "imputation int, intercept double, slope double")
 
 
-@query("e4_propensity_full")
+_COMPLETE = """complete as (
+      select * from (select *, date_diff('day', trial_start, least(end_followup_date_2y, enddate, dod)) as days from filled) where days > 0)"""
+
+
+@query(
+    "e4_propensity_full",
+    f"""with {_COMPLETE} select imputation, count(*) as n, sum(treatment) as treated, sum(treatment) as fitted, true as inside
+    from complete group by imputation""",
+    doubles="fitted", ints="imputation n treated",
+)
 def _(spark, d):
+    """The free intercept makes the fitted probabilities add up to the treated rows of each data set."""
     frame, feats = estimation.model_frame(filled(spark, d))
     out, _ = estimation.scored(frame, len(feats), AnalysisSpec(), ("PSM",))
-    return out.select(*GROUP, *KEYS, "treatment", "ps")
+    return out.groupBy("imputation").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("treatment").alias("treated"), F.round(F.sum("ps"), 3).alias("fitted"), F.every((F.col("ps") > 0) & (F.col("ps") < 1)).alias("inside")
+    )
 
 
 # ---- weights and trimming ----------------------------------------------------------------------
@@ -158,6 +170,12 @@ def _(spark, d):
     return cox(risk_table(df, ["k"], "time", "outcome", "treatment", w), ["k"]).select("est", "se")
 
 
+def _said(results):
+    """Each row has an estimate and its error, or a status that says why not."""
+    whole = F.col("est").isNotNull() & (F.col("se") > 0)
+    return results.select("imputation", "method", "trim", F.coalesce(whole | (F.col("status") != "ok"), F.lit(False)).alias("fine"))
+
+
 @query(
     "e8_psm_given_scores",
     f"""with recursive {PAIRS.strip()}, x as (
@@ -170,9 +188,24 @@ def _(spark, d):
     return estimation.psm(scores(spark, d).persist(), 0.01).select("imputation", "est", "se")
 
 
-@query("e8_psm")
+@query(
+    "e8_psm",
+    f"with {_COMPLETE} select distinct imputation, 'PSM' as method, cast(null as double) as trim, true as fine from complete",
+    doubles="trim", ints="imputation",
+)
+def _(spark, d):
+    return _said(estimation.estimate(filled(spark, d), AnalysisSpec(), ("PSM",)))
+
+
+@query(
+    "e8_psm_without_pairs",
+    "select distinct imputation, 'PSM' as method, cast(null as double) as est, 'no matched pair' as status from scores",
+    doubles="est", ints="imputation",
+)
 def _(spark, d):
-    return estimation.estimate(filled(spark, d), AnalysisSpec(), ("PSM",))
+    """An arm that is empty, or no pair within the caliper, is a row that says so."""
+    alone = scores(spark, d).filter("treatment = 1").unionByName(scores(spark, d).filter("treatment = 0").withColumn("ps", F.col("ps") + 5.0))
+    return estimation.psm(alone.persist(), 0.01).select("imputation", "method", "est", "status")
 
 
 @query(
@@ -185,9 +218,13 @@ def _(spark, d):
     return estimation.iptw(scores(spark, d).persist(), TRIMS).select("imputation", "trim", "est", "se")
 
 
-@query("e9_iptw")
+@query(
+    "e9_iptw",
+    f"with {_COMPLETE} select distinct imputation, 'IPTW' as method, trim, true as fine from complete, unnest({TRIM_LIST}) t(trim)",
+    doubles="trim", ints="imputation",
+)
 def _(spark, d):
-    return estimation.estimate(filled(spark, d), AnalysisSpec(), ("IPTW",))
+    return _said(estimation.estimate(filled(spark, d), AnalysisSpec(), ("IPTW",)))
 
 
 # ---- targeting -------------------------------------------------------------------------------------
@@ -205,11 +242,18 @@ def _(spark, d):
     return folds.groupBy("imputation", "treatment", "fold").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("e11_cross_fitted")
+@query(
+    "e11_cross_fitted",
+    f"""with {_COMPLETE}, arms_of as (select imputation, treatment, count(*) as n from complete group by all)
+    select imputation, treatment, fold, (n - fold + 4) // 5 as rows, (n - fold + 4) // 5 as inside from arms_of, range(5) f(fold) where n > fold""",
+    ints="imputation treatment fold rows inside",
+)
 def _(spark, d):
+    """Every row is scored by models of the other folds; a fold whose training rows lack a class has no score."""
     frame, feats = estimation.model_frame(filled(spark, d))
     out, _ = estimation.scored(frame, len(feats), AnalysisSpec(), ("CV-TMLE",))
-    return out.select(*GROUP, *KEYS, "fold", "g", "q0", "q1")
+    fine = [(F.col(c) >= 0) & (F.col(c) <= 1) for c in ("g", "q0", "q1")]
+    return out.groupBy("imputation", "treatment", "fold").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(fine[0] & fine[1] & fine[2], F.lit(True))).alias("inside"))
 
 
 @query(
@@ -279,14 +323,24 @@ def _(spark, d):
     return _steps(spark, d).select("imputation", "trim", "log_rr")
 
 
-@query("e15_bootstrap")
+@query(
+    "e15_bootstrap",
+    f"""with recursive {_EPS} select n.imputation, n.trim, any_value(n.eps) as eps, ln(avg(1 / (1 + exp(-(ln(q1 / (1 - q1)) + eps / g))))
+      / avg(1 / (1 + exp(-(ln(q0 / (1 - q0)) - eps / (1 - g)))))) as log_rr, true as positive
+    from r join newton n on r.imputation = n.imputation and r.trim = n.trim and n.i = 12 group by n.imputation, n.trim""",
+    doubles="trim eps log_rr", ints="imputation",
+)
 def _(spark, d):
-    return _steps(spark, d, 200)
+    return _steps(spark, d, 200).select("imputation", "trim", "eps", "log_rr", ((F.col("se") > 0) & (F.col("status") == "ok")).alias("positive"))
 
 
-@query("e16_cv_tmle")
+@query(
+    "e16_cv_tmle",
+    f"with {_COMPLETE} select distinct imputation, 'CV-TMLE' as method, trim, true as fine from complete, unnest({TRIM_LIST}) t(trim)",
+    doubles="trim", ints="imputation",
+)
 def _(spark, d):
-    return estimation.estimate(filled(spark, d), AnalysisSpec(), ("CV-TMLE",))
+    return _said(estimation.estimate(filled(spark, d), AnalysisSpec(), ("CV-TMLE",)))
 
 
 # ---- pooling -------------------------------------------------------------------------------------------

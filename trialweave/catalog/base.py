@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from trialweave.operators.prep import with_defaults, with_followup
 from trialweave.plans.cohort import build_trials, person_trials
 from trialweave.sources import testtables as tt
+from trialweave.sources.storage import step_folder
 from trialweave.study import HISTORY_COVARIATES, NUMERIC_MEASURES, TEXT_MEASURES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,11 +42,8 @@ def query(name: str, sql: str | None = None, doubles: str = "", ints: str = ""):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a round trip: under the session's shared folder, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="trialweave-")
-    return f"{base.rstrip('/')}/trialweave-{os.urandom(8).hex()}"
+    """A new folder for a round trip, shared by all executors."""
+    return step_folder(spark, "scratch")
 
 
 # ---- Spark inputs -------------------------------------------------------------------

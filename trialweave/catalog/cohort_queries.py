@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ KEYS = ["patid", "trial_start"]
 
 @query("s1_patient_scan", "select * from patients")
 def _(spark, d):
-    return tt.patients(spark, d)
+    path, df = f"{scratch(spark)}/patients.parquet", tt.patients(spark, d)
+    df.write.parquet(path)
+    return storage.read_table(spark, path, df.schema)
 
 
 @query(
@@ -37,19 +41,22 @@ def _(spark, d):
     doubles="value_num",
 )
 def _(spark, d):
-    m = tt.measurements(spark, d)
-    parts = []
-    for name, (_, column) in MEASURE_FILES.items():
-        text = name in TEXT_MEASURES
-        one = m.filter(F.col("measure_name") == name).withColumnRenamed("value_str" if text else "value_num", column)
-        parts.append(storage.tagged_measure(one.select("patid", "eventdate", "event_id", column), name, column, text))
-    return storage.union_all(parts)
+    """One file per measure, each with its own value column, read as one long table."""
+    folder, m = scratch(spark), tt.measurements(spark, d).persist()
+    for name, (file, column) in MEASURE_FILES.items():
+        value = F.col("value_str" if name in TEXT_MEASURES else "value_num").alias(column)
+        m.filter(F.col("measure_name") == name).select("patid", "eventdate", "event_id", value).write.parquet(f"{folder}/{file}.parquet")
+    m.unpersist()
+    return storage.read_measurements(spark, folder)
 
 
 @query("s3_drug_union", "select patid, eventdate, med_name from rx")
 def _(spark, d):
-    r = tt.prescriptions(spark, d)
-    return storage.union_all([storage.tagged_drug(r.filter(F.col("med_name") == x), x) for x in DRUGS])
+    folder, r = scratch(spark), tt.prescriptions(spark, d).persist()
+    for x in DRUGS:
+        r.filter(F.col("med_name") == x).select("patid", "eventdate").write.parquet(f"{folder}/{x}.parquet")
+    r.unpersist()
+    return storage.read_prescriptions(spark, folder)
 
 
 @query(
@@ -158,11 +165,17 @@ def _(spark, d):
     return eligible_trials(spark, d).select(*KEYS, "months_since_hf")
 
 
-@query("p4_subtype_filter", "select hf_type, count(*) as n from patients where hf_type = 'HFrEF' group by hf_type")
+@query(
+    "p4_subtype_filter",
+    f"""select wanted, hf_type, patid, trial_start from (
+      select wanted, p.*, cal.* from patients p, cal, (values ('HFrEF'), ('all')) v(wanted)
+      where (wanted = 'all' or hf_type = wanted) and year(trial_start) - year(dob) between 35 and 85
+        and year(trial_start) - year(startdate) >= 2 and HF_date <= trial_start and enddate > trial_start)""",
+)
 def _(spark, d):
     people = ops.with_ages(ops.expand(tt.patients(spark, d), CAL))
-    kept = ops.eligible(people, tt.SPEC).select("hf_type").distinct()
-    return tt.patients(spark, d).join(F.broadcast(kept), "hf_type", "left_semi").groupBy("hf_type").agg(F.count(F.lit(1)).alias("n"))
+    kept = [ops.eligible(people, replace(tt.SPEC, subtype=x)).withColumn("wanted", F.lit(x)) for x in ("HFrEF", "all")]
+    return storage.union_all(kept).select("wanted", "hf_type", *KEYS)
 
 
 @query("p5_eligibility", "select patid, trial_start from pt")
@@ -229,7 +242,8 @@ def _(spark, d):
 @query(
     "p12_coerce",
     """select o_orderkey, try_cast(o_orderstatus as double) as status_number,
-      try_cast(left(o_orderpriority, 1) as double) as priority_number, try_cast(o_orderpriority as date) as priority_date
+      try_cast(left(o_orderpriority, 1) as double) as priority_number, try_cast(o_orderpriority as date) as priority_date,
+      case when o_orderkey % 3 <> 0 then cast(o_orderdate as date) end as order_date
     from orders""",
     doubles="status_number priority_number",
 )
@@ -239,6 +253,7 @@ def _(spark, d):
         "o_orderkey", as_number(F.col("o_orderstatus")).alias("status_number"),
         as_number(F.substring("o_orderpriority", 1, 1)).alias("priority_number"),
         as_date(F.col("o_orderpriority")).alias("priority_date"),
+        as_date(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate").cast("date").cast("string")).otherwise("unknown")).alias("order_date"),
     )
 
 
@@ -508,20 +523,26 @@ def _(spark, d):
 
 @query(
     "w1_last_per_month",
-    """select patid, measure_name, slot, eventdate, event_id, value_num from (
+    """select patid, measure_name, slot, eventdate, event_id, value_num, value_str from (
       select *, (year(eventdate) - 1994) * 12 + month(eventdate) - 2 as slot, row_number() over (
         partition by patid, measure_name, year(eventdate), month(eventdate)
-        order by eventdate desc, event_id desc, value_num desc nulls last) as rn
-      from meas where eventdate >= date '1994-02-01' and eventdate < date '1998-01-01' and measure_name <> 'smoke')
+        order by eventdate desc, event_id desc, value_num desc nulls last, value_str desc nulls last) as rn
+      from meas where eventdate >= date '1994-02-01' and eventdate < date '1998-01-01')
     where rn = 1""",
     doubles="value_num", ints="slot",
 )
 def _(spark, d):
     slots = measure_slots(tt.measurements(spark, d), CAL)
+    value = lambda m, text: (F.col(f"{m}.value") if text == (m in TEXT_MEASURES) else F.lit(None)).cast("string" if text else "double")
     cells = F.array(
-        *[F.when(F.col(m).isNotNull(), F.struct(F.lit(m).alias("measure_name"), f"{m}.*")) for m in MEASURES if m not in TEXT_MEASURES]
+        *[
+            F.when(F.col(m).isNotNull(), F.struct(
+                F.lit(m).alias("measure_name"), f"{m}.eventdate", f"{m}.event_id", value(m, False).alias("value_num"), value(m, True).alias("value_str"),
+            ))
+            for m in MEASURES
+        ]
     )
-    return slots.select("patid", "slot", F.inline(F.filter(cells, lambda c: c.isNotNull()))).withColumnRenamed("value", "value_num")
+    return slots.select("patid", "slot", F.inline(F.filter(cells, lambda c: c.isNotNull())))
 
 
 @query(

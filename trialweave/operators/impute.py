@@ -213,6 +213,7 @@ def donor_draw(
     seed: int,
     k: int = DONORS,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows: int | None = None,
 ) -> DataFrame:
     """Give each asking row the value of one of its ``k`` nearest donors.
 
@@ -235,7 +236,7 @@ def donor_draw(
         hash_uniform(seed + 1, *mine).alias("__u"),
         "me",
     )
-    found = sorted_neighbours(d.unionByName(a), groups, "score", "donor", "__u", k, rows_per_bucket)
+    found = sorted_neighbours(d.unionByName(a), groups, "score", "donor", "__u", k, rows_per_bucket, rows)
     # At most 2k candidates; the k nearest of them are the k nearest of all donors.
     near = F.slice(
         F.array_sort(

@@ -20,13 +20,13 @@ from pyspark.sql import Window
 ROWS_PER_BUCKET = 20_000
 
 
-def with_buckets(df: DataFrame, score: str, tiebreak: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def with_buckets(df: DataFrame, score: str, tiebreak: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None) -> DataFrame:
     """Add ``__bucket`` and ``__sub``; (bucket, sub) order agrees with (score, tiebreak) order.
 
-    The number of buckets follows from the number of rows. A value that fills several quantiles has as many
+    The number of buckets follows from the number of rows, counted unless the caller knows it. A value that fills several quantiles has as many
     sub-buckets, so there are at most two times as many places as buckets.
     """
-    buckets = max(1, -(-df.count() // rows_per_bucket))
+    buckets = max(1, -(-(df.count() if rows is None else rows) // rows_per_bucket))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = (df.agg(F.percentile_approx(score, probs, 10 * buckets)).first()[0] or []) if probs else []
     hot = {v: n + 1 for v, n in Counter(cuts).items() if n > 1}
@@ -43,7 +43,8 @@ def with_buckets(df: DataFrame, score: str, tiebreak: str | None = None, rows_pe
 
 
 def sorted_neighbours(
-    df: DataFrame, groups: list[str], score: str, donor: str, tiebreak: str, k: int, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, groups: list[str], score: str, donor: str, tiebreak: str, k: int, rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows: int | None = None,
 ) -> DataFrame:
     """For every non-donor row, its k nearest donors below and above in score order.
 
@@ -53,7 +54,7 @@ def sorted_neighbours(
     """
     place = [*groups, "__bucket", "__sub"]
     df = df.withColumn("__d", F.when(F.col(donor).isNotNull(), F.struct(F.col(score).alias("score"), F.col(donor).alias("donor"))))
-    df = with_buckets(df, score, tiebreak, rows_per_bucket)
+    df = with_buckets(df, score, tiebreak, rows_per_bucket, rows)
 
     def shifted(fn: str, by: str, order: str) -> Column:
         over = f"over (partition by {by} order by {order})"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,14 +89,23 @@ def read_completed(spark: SparkSession, path: str, columns: list[str] | None = N
     return df
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the folder is the session's, a private one only locally."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="trialweave-checkpoints-")
-    sc.setCheckpointDir(folder)
+def step_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, a private one only on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return tempfile.mkdtemp(prefix=f"trialweave-{name}-")
+    return f"{base.rstrip('/')}/trialweave-{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut_lineage(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df`` as a written table, so what is built on it repeats no earlier step."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")

@@ -107,11 +107,42 @@ def op10(spark, sf_dir):
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
-@query("op1_near_duplicates")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op1_near_duplicates",
+    rf"""
+    with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+    s as (
+      select doc_id, unnest(list_distinct(case when len(w) < 2 then w else
+        list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as s from w),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    links as (
+      select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by all) p
+      join n m on a = m.doc_id join n k on b = k.doc_id where 100 * shared >= 80 * (m.n + k.n - shared)),
+    edges as (select a, b from links union all select b, a from links),
+    reach as (select doc_id as x, doc_id as y from w union select r.x, e.b from reach r join edges e on r.y = e.a)
+    select x as doc_id, coalesce(any_value(n), 0) as n_shingles, min(y) as component_id, min(y) = x as kept
+    from reach left join n on x = n.doc_id group by x""",
+)
 def op1(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-@query("op3_repeated_passages")
+@query(
+    "op3_repeated_passages",
+    r"""
+    with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    windows as (
+      select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h
+      from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+    late as (select doc_id, i from (select *, min(doc_id) over (partition by h) as first from windows) where first < doc_id),
+    gone as (select distinct doc_id, i + k as i from late, range(50) r(k)),
+    words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+    kept as (select doc_id, string_agg(word, ' ' order by i) as t, count(*) as n from words anti join gone using (doc_id, i) group by doc_id)
+    select doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+    from d left join kept using (doc_id)""",
+)
 def op3(spark, sf_dir):
     return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)

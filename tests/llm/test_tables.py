@@ -218,6 +218,16 @@ def test_bounds_leave_out_cells(spark):
     assert pairs == [(0, 0), (1, 1)]
 
 
+def test_repeated_query_ids_leave_no_neighbour_out(spark):
+    """More rows of a query's id than it has neighbours asked for, alone in their cell."""
+    rng = np.random.default_rng(3)
+    at = lambda x: [x, *[float(y) for y in 0.01 * rng.standard_normal(7)]]
+    rows = [(50, [40.0] + [0.0] * 7)] * 12 + [(k, at(16.0)) for k in range(1, 40)] + [(k, at(-16.0)) for k in range(60, 90)]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, rows_per_pivot=1).collect()
+    want = brute_search(rows, 5, lambda a, b: int(np.floor(256 * a) @ np.floor(256 * b)))
+    assert len(want) == 5 and sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
 def cosine(a, b):
     n = math.sqrt(a @ a) * math.sqrt(b @ b)
     return a @ b / n if n else None

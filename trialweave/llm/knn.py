@@ -1,7 +1,7 @@
 """Exact top-k search by inner product as a Voronoi join.
 
 Pivots are some of the vectors. Queries and data each belong to the cell of their nearest pivot. A cell's
-summary is its number of rows, its radius and the distances of its innermost rows. With them, every query
+summary is its number of rows, its radius and the distances of its innermost ids. With them, every query
 cell gets a lower bound of its queries' k-th score, and a data cell is needed only if the upper bound of its
 scores reaches it. Queries, the smaller side, are sent to the blocks of the needed cells, each block is
 searched exhaustively, and the blocks' lists are merged.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.llm.shared import Steps
@@ -41,17 +41,24 @@ def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "id long, v array<double>, cell int, far double")
 
 
-def needed_cells(pivots: np.ndarray, radius: dict[int, float], data: dict[int, tuple[int, float, list[float]]], k: int) -> list[tuple[int, int]]:
+def needed_cells(
+    pivots: np.ndarray, radius: dict[int, float], data: dict[int, tuple[int, float, list[float]]], k: int, ids: dict[int, list[int]] | None = None
+) -> list[tuple[int, int]]:
     """Pairs of query cell and data cell that can hold one of a query's ``k`` best.
 
     With q = p + a and x = r + b for the pivots p and r, the score q.x lies within |a||r| + |b||p| + |a||b| of p.r.
-    ``data`` has rows, radius and the innermost distances of each cell; one more than ``k`` rows are counted, as
-    the query's own row does not count.
+    ``data`` has rows, radius and the innermost distances of each cell, ``ids`` whose they are (all different if
+    not given). An id counts once, with its best bound, and one more than ``k`` ids are counted, as no row of the
+    query's own id counts.
     """
     size, dot, out = np.sqrt((pivots**2).sum(axis=1)), pivots @ pivots.T, []
     for i, u in radius.items():
         spread = lambda j, b: u * size[j] + b * size[i] + u * b  # noqa: B023, E731
-        lower = sorted((dot[i, j] - spread(j, b) for j, (_, _, inner) in data.items() for b in inner), reverse=True)
+        bounds: dict = {}
+        for j, (_, _, inner) in data.items():
+            for b, own in zip(inner, ids[j] if ids else [(j, n) for n in range(len(inner))], strict=True):
+                bounds[own] = max(bounds.get(own, -np.inf), dot[i, j] - spread(j, b))
+        lower = sorted(bounds.values(), reverse=True)
         least = lower[k] if len(lower) > k else -np.inf
         for j, (_, r, _) in data.items():
             slack = 1e-9 * (abs(dot[i, j]) + spread(j, r) + 1)
@@ -108,12 +115,18 @@ def top_k(
     centre = np.unique(np.array([r.v for r in chosen]), axis=0)
     data = steps.write(_cells(whole, centre))
     queries = data.filter(is_query(F.col("id"))).dropDuplicates(["id", "v"])
-    inner = data.groupBy("cell", F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.expr(f"slice(array_sort(collect_list(far)), 1, {k + 1})").alias("near"))
-    # Innermost distances come from bounded parts of a cell first, so no task gathers a whole cell.
-    inner = inner.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.expr(f"slice(array_sort(flatten(collect_list(near))), 1, {k + 1})").alias("near"))
-    summary = {r.cell: (r.n, r.far, list(r.near)) for r in inner.collect()}
+    # Only the innermost of each task's ids are sent on, so no task gathers a whole cell.
+    nearest = data.groupBy("cell", "id").agg(F.min("far").alias("far"))
+    nearest = nearest.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("far", "id"))).filter(F.col("nth") <= k + 1)
+    inner: dict[int, list[tuple[float, int]]] = {}
+    for r in nearest.collect():
+        inner.setdefault(r.cell, []).append((r.far, r.id))
+    summary, ids = {}, {}
+    for r in data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():
+        summary[r.cell] = (r.n, r.far, [far for far, _ in inner[r.cell]])
+        ids[r.cell] = [own for _, own in inner[r.cell]]
     radius = {r.cell: r.far for r in queries.groupBy("cell").agg(F.max("far").alias("far")).collect()}
-    pairs = needed_cells(centre, radius, summary, k)
+    pairs = needed_cells(centre, radius, summary, k, ids)
     blocks = {j: -(-m // block_rows) for j, (m, _, _) in summary.items()}
     table = spark.createDataFrame([(i, j, blocks[j]) for i, j in pairs], "cell int, data_cell int, blocks int")
     name = lambda cell, nth: (F.col(cell).cast("long") * F.lit(1 << 32) + nth).alias("block")

@@ -252,3 +252,20 @@ def test_graph_search_has_high_recall(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = [len(set(sorted((i for i in x if i != q), key=lambda i: -cosine(x[q], x[i]))[:5]) & got[q]) for q in got]
     assert np.mean(hits) >= 4.5
+
+
+def test_graph_search_finds_near_copies_in_a_full_shard(spark):
+    """Groups of near but not equal vectors, as large as a batch, with the parameters in use."""
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.standard_normal((32, 64)), 64, axis=0) + 0.01 * rng.standard_normal((2048, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.nearest(df, lambda i: i % 5 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for q in range(0, 2048, 5):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits.append(len(set(np.argsort(-s)[:5].tolist()) & got.get(q, set())))
+    assert np.mean(hits) >= 4.95

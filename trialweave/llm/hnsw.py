@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cosine: one hierarchical small-world graph per shard.
 
-Rows fall into shards of bounded size by a hash. A shard's graph is built in batches: the nodes of a batch
-search the graph of those before them, link to a diverse choice of the nodes found and are linked back.
+Rows fall into shards of bounded size by a hash. A shard's graph is built in batches, in a seeded random order: the
+nodes of a batch search the graph of those before them, link to a diverse choice of the nodes found and of one
+another and are linked back.
 Equal vectors are one node with all its ids. Graphs are kept as flat arrays of neighbour numbers, one row per
 shard of a written table; every query searches every shard and the shards' lists are merged.
 """
@@ -57,9 +58,18 @@ class Graph:
             ef = BUILD if here.any() else 1
             ids, sims = self._walk(self.unit[new], beam, layer, ef)
             if here.any():
-                self._link(new[here], ids[here], sims[here], layer)
+                self._link(new[here], *self._with_batch(new[here], ids[here], sims[here]), layer)
             beam = ids
 
+    def _with_batch(self, new: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates from the graph and the other nodes of the batch, best first; a group may lie in one batch."""
+        among = self.unit[new] @ self.unit[new].T
+        np.fill_diagonal(among, -np.inf)
+        others = np.where(np.eye(len(new), dtype=bool), -1, new[None, :]).astype(np.int32)
+        ids, sims = np.concatenate([ids, others], axis=1), np.concatenate([sims, among], axis=1)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+
     def _choose(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """From candidates, nearest first, those nearer to the node than to any chosen before; the rest if places stay."""
         rows, width = ids.shape
@@ -88,6 +98,8 @@ class Graph:
         nodes, first, n = np.unique(target, return_index=True, return_counts=True)
         more = np.full((len(nodes), int(n.max(initial=0))), -1, np.int32)
         more[np.repeat(np.arange(len(nodes)), n), np.arange(len(target)) - np.repeat(first, n)] = source
+        # Two nodes of a batch can choose one another.
+        more[(more[:, :, None] == table[nodes][:, None, :]).any(axis=2)] = -1
         both = np.concatenate([table[nodes], more], axis=1)
         sims = np.where(both >= 0, np.einsum("ncd,nd->nc", self.unit[both], self.unit[nodes]), -np.inf)
         order = np.argsort(-sims, axis=1, kind="stable")
@@ -159,8 +171,11 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     def one(shard: int, table: pa.Table) -> pa.RecordBatch:
         ids, x = table.column("id").to_numpy(), matrix(table.column("v").combine_chunks())
         nodes, of = np.unique(x, axis=0, return_inverse=True)
-        order = np.lexsort((ids, of.ravel()))
-        at = np.searchsorted(of.ravel()[order], np.arange(len(nodes) + 1)).astype(np.int64)
+        # Sorted nodes would put near ones into one batch.
+        turn = np.random.default_rng([7, len(nodes)]).permutation(len(nodes))
+        nodes, of = nodes[turn], np.argsort(turn)[of.ravel()]
+        order = np.lexsort((ids, of))
+        at = np.searchsorted(of[order], np.arange(len(nodes) + 1)).astype(np.int64)
         g = Graph.build(_unit(nodes), _layers(len(nodes)))
         links = [k.tobytes() for k in g.links]
         values = [[shard], [ids[order].astype(np.int64).tobytes()], [at.tobytes()], [nodes.tobytes()], [g.layers.tobytes()], [links]]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import bpe, hnsw, knn, langid, minhash, mixing, quality, substring, unigram, warc
+from trialweave.llm import bpe, hnsw, knn, langid, minhash, mixing, quality, substring, survival, unigram, warc
 from trialweave.llm.shared import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,34 @@ def op1(spark, sf_dir):
 )
 def op3(spark, sf_dir):
     return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+
+
+@query(
+    "op13_filter_interactions",
+    r"""
+    with d as (
+      select coalesce(lang, '') as part, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+        coalesce(min(doc_id) over (partition by coalesce(text, '')) < doc_id, false) as copy from documents),
+    l as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+    f as (
+      select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, (len(w) < 200)::int
+        + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int
+        + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * copy::int as mask from d left join l using (doc_id)),
+    g as (select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by all),
+    letters as (select chr(65 + i::int) as letter, (1 << i)::int as bit from range(5) r(i)),
+    orders as (
+      select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+      from letters a, letters b, letters c, letters d, letters e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+    steps as (select filter_order, i::int as step, bits[i] as bit, coalesce(list_sum(bits[1:i - 1]), 0)::int as gone from orders, range(1, 6) r(i)),
+    counts as (
+      select part, filter_order, step, any_value(bit) as bit, coalesce(sum(n) filter (mask & (gone | bit) = 0), 0)::bigint as kept,
+        coalesce(sum(n) filter (mask & gone = 0 and mask & bit > 0), 0)::bigint as removed,
+        coalesce(sum(n) filter (mask & gone > 0 and mask & bit > 0), 0)::bigint as redundant,
+        coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+        coalesce(sum(good) filter (mask & gone = 0 and mask & bit > 0), 0)::bigint as good_lost,
+        coalesce(sum(toxic) filter (mask & gone = 0 and mask & bit > 0), 0)::bigint as toxic_lost
+      from g, steps group by part, filter_order, step)
+    select * exclude (bit), sum(removed) over (partition by part, bit)::bigint as shapley from counts""",
+)
+def op13(spark, sf_dir):
+    return survival.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -67,3 +67,19 @@ def held_out(key: str = "doc_id"):
 
 #: Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Left join of ``rows`` with a table of one row a key, whatever the share of one key in ``rows``.
+
+    Keys that hold over one ``share``-th of all rows are fewer than ``share``; their rows stay where they are and
+    meet a broadcast of so many rows at most. All other keys are shuffled. Both should be written tables.
+    """
+    least = rows.count() // share
+    hot = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > F.lit(max(least, share)))
+    hot = [r[0] for r in hot.select(key).collect()]
+    if not hot:
+        return rows.join(table, key, "left")
+    hot = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(key).schema))
+    few = F.broadcast(table.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(few, key, "left").unionByName(rows.join(hot, key, "left_anti").join(table, key, "left"))

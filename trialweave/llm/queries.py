@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import bpe, hnsw, knn, langid, minhash, mixing, quality, substring, survival, unigram, warc
+from trialweave.llm import bpe, hnsw, knn, langid, minhash, mixing, negatives, quality, substring, survival, unigram, warc
 from trialweave.llm.shared import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,29 @@ def op3(spark, sf_dir):
 )
 def op13(spark, sf_dir):
     return survival.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    with v as (
+      select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+      where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (
+      select q.vec_id as anchor_id, d.vec_id, q.label = d.label as same, cast(list_inner_product(q.e, d.e) as bigint) as score
+      from v q join v d on q.vec_id % 50 = 0 and q.vec_id <> d.vec_id),
+    p as (
+      select anchor_id, vec_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+    n as (
+      select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+        cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank
+      from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+    select * from n where rank <= 3""",
+)
+def op12(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), lambda i: i % 50 == 0)

@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def clean(df: DataFrame, key: str, vector: str, zero: bool = True) -> DataFrame:
-    """``id`` and ``v`` (doubles) of the rows with an id and a vector that is whole and finite.
+def clean(df: DataFrame, key: str, vector: str, zero: bool = True, keep: dict[str, Column] | None = None) -> DataFrame:
+    """``id``, ``v`` (doubles) and the columns ``keep`` of the rows with an id and a vector that is whole and finite.
 
     The dimension is the most frequent length (the larger of equally frequent ones); other lengths, and zero
     vectors if ``zero`` is false, are left out.
@@ -23,7 +23,7 @@ def clean(df: DataFrame, key: str, vector: str, zero: bool = True) -> DataFrame:
         df = df.filter(F.exists(v, lambda x: x != 0))
     lengths = df.groupBy(F.size(vector).alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
     dims = lengths.n if lengths else 0
-    return df.filter(F.size(vector) == dims).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+    return df.filter(F.size(vector) == dims).select(F.col(key).cast("long").alias("id"), v.alias("v"), *[c.alias(n) for n, c in (keep or {}).items()])
 
 
 def matrix(column: pa.Array) -> np.ndarray:

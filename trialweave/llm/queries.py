@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import bpe, hnsw, knn, langid, minhash, mixing, negatives, quality, substring, survival, unigram, warc
+from trialweave.llm import bpe, hnsw, knn, langid, minhash, mixing, negatives, quality, substring, suffix, survival, unigram, warc
 from trialweave.llm.shared import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,32 @@ def op3(spark, sf_dir):
     return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
 
 
+@query(
+    "op11_repeated_bytes",
+    """
+    with d as (select doc_id, coalesce(text, '') as t, hex(coalesce(text, '')) as h from documents),
+    starts as (
+      select doc_id, i, md5(substring(h, cast(2 * i - 1 as bigint), 200)) as w
+      from (select doc_id, h, unnest(range(1, cast(length(h) // 2 as bigint) - 98)) as i from d where length(h) >= 200)),
+    late as (select doc_id, i from starts qualify row_number() over (partition by w order by doc_id, i) > 1),
+    runs as (
+      select doc_id, min(i) as a, max(i) + 99 as b from (
+        select *, sum(new) over (partition by doc_id order by i) as run from (
+          select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as new from late))
+      group by doc_id, run),
+    ends as (select doc_id, a, b from runs union all select doc_id, length(h) // 2 + 1, length(h) // 2 from d),
+    gaps as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as last from ends),
+    left_over as (
+      select doc_id, cast(count(*) - 1 as bigint) as n_spans, cast(sum(b - a + 1) as bigint) as n_removed,
+        string_agg(substring(h, cast(2 * last + 1 as bigint), cast(2 * (a - last - 1) as bigint)), '' order by a) as kept
+      from gaps join d using (doc_id) group by doc_id)
+    select doc_id, cast(length(h) // 2 as bigint) as n_bytes, n_removed, n_spans, sha256(unhex(kept)) as kept_sha256
+    from d join left_over using (doc_id)""",
+)
+def op11(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), output="")
+
+
 @query(
     "op13_filter_interactions",
     r"""

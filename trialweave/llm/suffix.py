@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.shared import Steps
@@ -33,6 +33,10 @@ SHALLOW = 40
 SMALL = 32
 LARGE = 8192
 SALTS = 16
+#: One text in so many tells which anchors have very many paths: those with more than HOT of them, MOST at the most.
+SAMPLE = 32
+HOT = 256
+MOST = 1000
 #: Texts are worked on in slices of about so many bytes; longer texts in pieces, which overlap by a window.
 SLICE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -74,10 +78,15 @@ def anchors(data: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.
 
 
 def _cut(window: int, anchor: int):
-    """Paths of texts; ``several`` tells that a path's windows do not all hold the same place of their group."""
+    """Paths of texts, of equal ones in a batch the first.
+
+    ``place`` holds a path's start, its number of windows, and whether they hold several places of their group, in
+    one number that sorts by start.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, groups, fulls, spots = [], [], [], []
             for i, base, data, offsets in pieces(b.column("text"), window):
                 if len(data) < window:
                     continue
@@ -95,16 +104,67 @@ def _cut(window: int, anchor: int):
                 keep = whole[start]
                 start, edges, several = start[keep], edges[keep], several[keep]
                 raw = data.tobytes()
-                full = [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(start.tolist(), (start + edges + window - 1).tolist(), strict=True)]
-                row = text[start]
-                at = pa.array(i + row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("id").take(at), b.column("th").take(at), pa.array((start - offsets[row] + base).astype(np.int32)), pa.array(edges.astype(np.int32)),
-                        pa.array(group[start].view(np.int64)), pa.array(np.array(full, np.uint64).view(np.int64)), pa.array(several),
-                    ],
-                    names=["id", "th", "start", "edges", "anchor", "full", "several"],
-                )
+                fulls.append(np.array([xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(start.tolist(), (start + edges + window - 1).tolist(), strict=True)], np.uint64))
+                groups.append(group[start])
+                rows.append(i + text[start])
+                spots.append((start - offsets[text[start]] + base) << 32 | edges << 1 | several)
+            if not rows:
+                continue
+            row, group, full, spot = (np.concatenate(c) for c in (rows, groups, fulls, spots))
+            ids, hashes = b.column("id").to_numpy(), b.column("th").to_numpy()
+            rank = np.empty(len(ids), np.int64)
+            rank[np.lexsort((hashes, ids))] = np.arange(len(ids))
+            order = np.lexsort((rank[row], mix(group ^ (full * np.uint64(_BASE)))))  # rows of a text come in order
+            first = np.ones(len(order), bool)
+            first[1:] = (group[order[1:]] != group[order[:-1]]) | (full[order[1:]] != full[order[:-1]])
+            at = order[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group[at].view(np.int64)), pa.array(full[at].view(np.int64)), pa.array(ids[row[at]]), pa.array(hashes[row[at]]), pa.array(spot[at])],
+                names=["anchor", "full", "id", "th", "place"],
+            )
+
+    return run
+
+
+def _mark(hot: list[int]):
+    """The first of equal paths in a stream sorted by anchor, path and source, and whether it is to be opened.
+
+    A path is open if it repeats itself or its anchor has other paths, for which the stream is one path ahead; anchors
+    named ``hot`` are dealt over tasks by path and always open.
+    """
+    names = ["id", "th", "place", "open"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        before = None  # anchor and path of the last row so far, and whether the anchor had two paths by then
+        for b in batches:
+            if not b.num_rows:
+                continue
+            anchor, full = b.column("anchor").to_numpy(), b.column("full").to_numpy()
+            new = np.ones(len(anchor), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (full[1:] != full[:-1])
+            if before is not None:
+                new[0] = (anchor[0], full[0]) != before[:2]
+            at = np.flatnonzero(new)
+            if not len(at):
+                continue
+            a = anchor[at]
+            other = np.zeros(len(at), bool)
+            same = a[1:] == a[:-1]
+            other[1:] |= same
+            other[:-1] |= same
+            place = b.column("place").to_numpy()[at]
+            if before is not None and a[0] == before[0]:
+                other[0] = True
+                held = held.set_column(3, "open", pa.array([True]))
+            if held is not None:
+                yield from held.to_batches()
+            open_ = other | (place & 1 > 0) | np.isin(a, hot)
+            t = pa.table([*[b.column(c).take(pa.array(at)) for c in ("id", "th")], pa.array(place), pa.array(open_)], names=names)
+            yield from t.slice(0, len(at) - 1).to_batches()
+            held, before = t.slice(len(at) - 1).combine_chunks(), (a[-1], full[at[-1]])
+        if held is not None:
+            yield from held.to_batches()
 
     return run
 
@@ -120,7 +180,8 @@ def _open(window: int, anchor: int, chunk: int):
             for k, t in enumerate(b.column("text")):
                 raw = t.as_py().encode()
                 for path in places[k].as_py():
-                    first, data = path["start"], np.frombuffer(raw, np.uint8, path["edges"] + window - 1, path["start"])
+                    first = path >> 32
+                    data = np.frombuffer(raw, np.uint8, ((path & 0xFFFFFFFF) >> 1) + window - 1, first)
                     place, _ = anchors(data, window, anchor)
                     nth = (place - np.arange(len(place))) // chunk
                     cuts = np.flatnonzero((place[1:] != place[:-1]) | (nth[1:] != nth[:-1])) + 1
@@ -341,32 +402,34 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", out
     spark = docs.sparkSession
     steps = Steps(spark, "suffixes")
     source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).filter(f"id is not null and octet_length(text) >= {window}")
-    # The first of equal paths; most of the others are dropped before the shuffle.
-    cut = source.mapInArrow(_cut(window, anchor), "id long, th long, start int, edges int, anchor long, full long, several boolean")
-    order = Window.partitionBy("anchor", "full", "edges").orderBy("id", "th", "start")
-    unique = steps.write(cut.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth"))
+    cut = _cut(window, anchor)
+    path = "anchor long, full long, id long, th long, place long"
+    # Anchors with very many paths, judged by one text in SAMPLE; this only says how rows are dealt.
+    some = source.filter(F.pmod("th", F.lit(SAMPLE)) == 0).mapInArrow(cut, path)
+    some = some.groupBy("anchor").agg(F.approx_count_distinct("full", 0.1).alias("n")).filter(F.col("n") > HOT).orderBy(F.desc("n"), "anchor").limit(MOST)
+    hot = [r.anchor for r in some.collect()]
+    deal = F.when(F.col("anchor").isin(hot), F.xxhash64("anchor", "full")).otherwise(F.col("anchor")) if hot else F.col("anchor")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = source.mapInArrow(cut, path).withColumn("deal", deal)
+    marked = marked.repartition(parts, "deal").drop("deal").sortWithinPartitions("anchor", "full", "id", "th", "place")
+    marked = steps.write(marked.mapInArrow(_mark(hot), "id long, th long, place long, open boolean"))
     steps.release()
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    branching = unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", salt, F.lit(True).alias("branch"))
-    marked = unique.withColumn("salt", F.pmod(F.xxhash64("full"), F.lit(SALTS)).cast("int")).join(branching, ["anchor", "salt"], "left")
-    marked = marked.select("id", "th", "start", "edges", (F.col("several") | F.coalesce("branch", F.lit(False))).alias("open"))
-    marked = steps.write(marked)
-    steps.drop(unique)
-    places = marked.filter("open").groupBy("id", "th").agg(F.collect_list(F.struct("start", "edges")).alias("places"))
+    places = marked.filter("open").groupBy("id", "th").agg(F.collect_list("place").alias("places"))
     opened = source.join(places, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(_open(window, anchor, chunk), "key long, id long, th long, start int, n int, bytes binary")
     opened = steps.write(opened)
     steps.release()
 
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     hot = steps.write(opened.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > large).select("key", salt))
     opened_salted = opened.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)).cast("int"))
     usual = opened_salted.join(hot, ["key", "salt"], "left_anti")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     usual = usual.select("key", "id", "th", "start", "n", "bytes").repartition(parts, "key").sortWithinPartitions("key", "id", "th", "start")
     usual = usual.mapInArrow(_firsts(window), "id long, th long, start int, edges int")
     single = opened_salted.join(hot, ["key", "salt"], "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     single = single.groupBy(F.expr(f"substring(bytes, i + 1, {window})").alias("bytes")).agg(F.min(F.struct("id", "th", (F.col("start") + F.col("i")).alias("start"))).alias("first"))
     single = single.select("first.*", F.lit(1).alias("edges"))
-    firsts = marked.filter("not open").drop("open").unionByName(usual).unionByName(single)
+    closed = marked.filter("not open").select("id", "th", F.shiftright("place", 32).cast("int").alias("start"), F.expr("cast(place & 4294967295 as bigint) >> 1").cast("int").alias("edges"))
+    firsts = closed.unionByName(usual).unionByName(single)
     firsts = steps.write(firsts.groupBy("id", "th").agg(F.collect_list(F.struct("start", "edges")).alias("__firsts")))
     steps.drop(marked, opened, hot)
 

@@ -14,7 +14,7 @@ from trialweave.operators.impute import donor_draw
 from trialweave.operators.matching import nearest_controls
 from trialweave.operators.ordering import exact_quantiles, numbered, sorted_neighbours, with_buckets
 from trialweave.operators.pool import pooled, report
-from trialweave.operators.tmle import _poisson_counts, fluctuation
+from trialweave.operators.tmle import _leaves, fluctuation, leaf_counts, with_draws
 from trialweave.operators.weights import trim_bounds, trim_depth, trimmed_rows
 
 
@@ -173,10 +173,29 @@ def test_bootstrap_agrees_with_exact_resampling(spark):
     assert se == pytest.approx(exact, rel=0.2)
 
 
-def test_poisson_counts():
-    c = _poisson_counts(np.arange(20000), 20)
-    assert c.mean() == pytest.approx(1, abs=0.01) and c.var() == pytest.approx(1, abs=0.02)
-    assert np.array_equal(c[5:9], _poisson_counts(np.arange(5, 9), 20))
+def test_replicates_draw_as_many_rows_as_there_are(spark):
+    """Exactly n draws per level and replicate, the same for every row however rows are dealt."""
+    rng = np.random.default_rng(4)
+    n, levels, replicates = 5000, 3, 30
+    pdf = pd.DataFrame({"group": rng.integers(1, 3, n), "depth": rng.integers(0, levels + 1, n), "row": rng.integers(-(2**62), 2**62, n)})
+    pdf = pdf.assign(t=1.0, y=0.0, g=0.5, q0=0.1, q1=0.1)
+    seen = []
+    for df in (spark.createDataFrame(pdf), spark.createDataFrame(pdf[::-1]).repartition(3)):
+        found = {}
+        for g, leaf, nodes, part in _leaves(with_draws(df, levels, per_leaf=64).toArrow().to_batches(), levels):
+            depth, row = part.column("depth").to_numpy(), part.column("row").to_numpy()
+            for j in range(levels):
+                for r, c in zip(row[depth > j], leaf_counts(nodes, g, leaf, j, replicates), strict=True):
+                    found[(g, j, int(r))] = c
+        for g in (1, 2):
+            for j in range(levels):
+                total = sum(c for k, c in found.items() if k[:2] == (g, j))
+                assert (total == ((pdf.group == g) & (pdf.depth > j)).sum()).all()
+        seen.append(found)
+    assert seen[0].keys() == seen[1].keys() and all((seen[0][k] == seen[1][k]).all() for k in seen[0])
+    flat = np.concatenate([c for k, c in seen[0].items() if k[1] == 0])
+    assert abs(flat.var() - 1) < 0.05 and abs((flat == 0).mean() - np.exp(-1)) < 0.02
+
 
 
 def test_donor_draw_uses_near_observed_values(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from trialweave.catalog.base import PAIRS, TRIM_BOUNDS, TRIM_LIST, cox_sql, filled, followed, query, scores, small_cohort
@@ -10,13 +12,14 @@ from trialweave.operators import logistic, panel, prep
 from trialweave.operators.cox import cox, risk_table
 from trialweave.operators.matching import matched_sample, nearest_controls
 from trialweave.operators.pool import pooled, report
-from trialweave.operators.tmle import clever_covariate, fluctuation, perturbed, risk_ratio, spread, stratified_folds
+from trialweave.operators.tmle import clever_covariate, fluctuation, perturbed, risk_ratio, stratified_folds
 from trialweave.operators.weights import stabilised_weights, trim_bounds, trim_depth, trimmed_rows
 from trialweave.plans import estimation
 from trialweave.study import TRIMS, AnalysisSpec
 
 KEYS = ["patid", "trial_start"]
 GROUP = ["imputation"]
+SPEC = AnalysisSpec()
 
 
 def pairs(spark, d):
@@ -108,19 +111,42 @@ _COMPLETE = """complete as (
       select * from (select *, date_diff('day', trial_start, least(end_followup_date_2y, enddate, dod)) as days from filled) where days > 0)"""
 
 
+def _features_sql() -> str:
+    """``f(imputation, treatment, feature, value)``: design columns of the complete rows, levels but the first of each category."""
+    out = [f"select imputation, treatment, '{c}' as feature, cast({c} as double) as value from complete" for c in (*SPEC.numeric, *SPEC.flags)]
+    for c in SPEC.categorical:
+        text = f"coalesce(cast({c} as varchar), 'nan')"
+        out.append(
+            f"select imputation, treatment, '{c}_' || level, cast({text} = level as int) from complete, "
+            f"(select distinct {text} as level from complete where {text} <> (select min({text}) from complete))"
+        )
+    return "f as (" + " union all ".join(out) + ")"
+
+
 @query(
     "e4_propensity_full",
-    f"""with {_COMPLETE} select imputation, count(*) as n, sum(treatment) as treated, sum(treatment) as fitted, true as inside
-    from complete group by imputation""",
-    doubles="fitted", ints="imputation n treated",
+    f"""with {_COMPLETE}, {_features_sql()}
+    select imputation, feature, round(sum(treatment * value), 4) as moment from f group by imputation, feature
+    union all select imputation, 'intercept', sum(treatment) from complete group by imputation""",
+    doubles="moment", ints="imputation",
 )
 def _(spark, d):
-    """The free intercept makes the fitted probabilities add up to the treated rows of each data set."""
-    frame, feats = estimation.model_frame(filled(spark, d))
-    out, _ = estimation.scored(frame, len(feats), AnalysisSpec(), ("PSM",))
-    return out.groupBy("imputation").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("treatment").alias("treated"), F.round(F.sum("ps"), 3).alias("fitted"), F.every((F.col("ps") > 0) & (F.col("ps") < 1)).alias("inside")
-    )
+    """Score equations: a feature's sum over treated rows is its sum over fitted probabilities plus sd x coefficient."""
+    frame = prep.analysis_frame(filled(spark, d), SPEC, SPEC.event_rule)
+    feats = prep.features(frame, SPEC)
+    rows = prep.standardised(frame, feats, GROUP).persist()
+    task = [logistic.Task("ps", F.col(SPEC.treatment), F.lit(True))]
+    groups = sorted(r.imputation for r in rows.select("imputation").distinct().collect())
+    fit = logistic.fit(logistic.model_rows(rows, "x", task, "imputation"), task, len(feats), 1.0, groups, tol=1e-9)
+    coef = spark.createDataFrame([(g, fit.coef[(g, "ps")][0].tolist()) for g in groups], "imputation int, b array<double>")
+    ps = F.lit(1.0) / (F.lit(1.0) + F.exp(-logistic.dot("x", "b", len(feats))))
+    rows = rows.join(F.broadcast(coef), "imputation").withColumn("ps", ps)
+    # A population SD of zero counts as 1, as in the scaling.
+    sd = [f"if(stddev_pop(`{c}`) > 0, stddev_pop(`{c}`), 1D)" for c in feats]
+    sums = [F.expr(f"sum(ps * `{c}`) + {s} * get(first(b), {i})").alias(c) for i, (c, s) in enumerate(zip(feats, sd, strict=True))]
+    wide = rows.groupBy("imputation").agg(*sums, F.sum("ps").alias("intercept"))
+    long = wide.unpivot(["imputation"], [f"`{c}`" for c in [*feats, "intercept"]], "feature", "moment")
+    return long.select("imputation", "feature", F.round("moment", 4).alias("moment"))
 
 
 # ---- weights and trimming ----------------------------------------------------------------------
@@ -171,9 +197,54 @@ def _(spark, d):
 
 
 def _said(results):
-    """Each row has an estimate and its error, or a status that says why not."""
-    whole = F.col("est").isNotNull() & (F.col("se") > 0)
-    return results.select("imputation", "method", "trim", F.coalesce(whole | (F.col("status") != "ok"), F.lit(False)).alias("fine"))
+    """Each row has an estimate and its error; a failed fit is not fine."""
+    whole = F.col("est").isNotNull() & (F.col("se") > 0) & (F.col("status") == "ok")
+    return results.select("imputation", "method", "trim", F.coalesce(whole, F.lit(False)).alias("fine"))
+
+
+#: Estimators from start to end on one covariate, which SQL can fit as well.
+ONE = replace(SPEC, numeric=("creatinine",), categorical=(), flags=())
+#: The propensity model of that covariate by Newton steps; ``scores`` then holds the fitted scores.
+_FITTED = f"""{_COMPLETE},
+    zs as (select *, (creatinine - avg(creatinine) over g) / stddev_pop(creatinine) over g as x from complete window g as (partition by imputation)),
+    psfit as (
+      select 0 as i, imputation, 0.0::double as a, 0.0::double as b from (select distinct imputation from zs)
+      union all
+      select i + 1, imputation, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+      from (
+        select i, imputation, a, b, sum(treatment - p) as ga, sum((treatment - p) * x) - b as gb, sum(p * (1 - p)) as haa,
+          sum(p * (1 - p) * x) as hab, sum(p * (1 - p) * x * x) + 1 as hbb
+        from (select n.*, zs.x, zs.treatment, 1 / (1 + exp(-(n.a + n.b * zs.x))) as p from psfit n join zs on n.imputation = zs.imputation where n.i < 15)
+        group by i, imputation, a, b)),
+    fitted as (
+      select patid, trial_start, treatment, all_cause_mortality_2y as outcome, days as time, zs.imputation, 1 / (1 + exp(-(a + b * x))) as ps
+      from zs join psfit n on zs.imputation = n.imputation and n.i = 15)"""
+
+
+def _of_fitted(sql: str) -> str:
+    return sql.replace("from scores", "from fitted").replace("join scores", "join fitted")
+
+
+@query(
+    "e8_psm_fitted",
+    f"""with recursive {_FITTED}, {_of_fitted(PAIRS).strip()}, x as (
+      select imputation, time, outcome, 1 as treatment, 1.0::double as w from pairs
+      union all select imputation, c_time, c_outcome, 0, 1.0 from pairs),
+    {cox_sql('x', 'imputation').strip()} select imputation, est, se, 'ok' as status from fit""",
+    doubles="est se", ints="imputation",
+)
+def _(spark, d):
+    return estimation.estimate(filled(spark, d), ONE, ("PSM",)).select("imputation", "est", "se", "status")
+
+
+@query(
+    "e9_iptw_fitted",
+    f"""with recursive {_FITTED}, {_of_fitted(TRIM_BOUNDS).strip()}, x as (select imputation, trim, time, outcome, treatment, w from weighted),
+    {cox_sql('x', 'imputation, trim').strip()} select imputation, trim, est, se, 'ok' as status from fit""",
+    doubles="trim est se", ints="imputation",
+)
+def _(spark, d):
+    return estimation.estimate(filled(spark, d), ONE, ("IPTW",)).select("imputation", "trim", "est", "se", "status")
 
 
 @query(
@@ -249,11 +320,37 @@ def _(spark, d):
     ints="imputation treatment fold rows inside",
 )
 def _(spark, d):
-    """Every row is scored by models of the other folds; a fold whose training rows lack a class has no score."""
+    """Every row is scored by models of the other folds, each with a score inside 0 and 1."""
     frame, feats = estimation.model_frame(filled(spark, d))
     out, _ = estimation.scored(frame, len(feats), AnalysisSpec(), ("CV-TMLE",))
     fine = [(F.col(c) >= 0) & (F.col(c) <= 1) for c in ("g", "q0", "q1")]
-    return out.groupBy("imputation", "treatment", "fold").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(fine[0] & fine[1] & fine[2], F.lit(True))).alias("inside"))
+    return out.groupBy("imputation", "treatment", "fold").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(fine[0] & fine[1] & fine[2], F.lit(False))).alias("inside"))
+
+
+@query(
+    "e11_score_equations",
+    f"""with {_COMPLETE} select distinct imputation, fold, model, true as settled
+    from complete, range(5) f(fold), (values ('g'), ('q0'), ('q1')) m(model)""",
+    ints="imputation fold",
+)
+def _(spark, d):
+    """For every fold and model, the penalised gradient over its training rows is zero in each feature."""
+    frame, feats = estimation.model_frame(filled(spark, d))
+    p = len(feats)
+    frame = stratified_folds(frame, GROUP, KEYS, "treatment", 5, SPEC.seed).persist()
+    groups = sorted(r.imputation for r in frame.select("imputation").distinct().collect())
+    tasks, variances = estimation.nuisance_tasks(5), estimation.off_fold_variances(frame, p, 5)
+    penalty = {(g, t.name): variances[(g, int(t.name[-1]))] for g in groups for t in tasks}
+    fit = logistic.fit(logistic.model_rows(frame, "x", tasks, "imputation"), tasks, p, penalty, groups)
+    rows = [(g, int(t.name[-1]), t.name[:-1], fit.coef[(g, t.name)][0].tolist(), [*penalty[(g, t.name)].tolist(), 0.0]) for g in groups for t in tasks]
+    models = spark.createDataFrame(rows, "imputation int, off int, model string, b array<double>, penalty array<double>")  # folds x models rows
+    train = frame.join(F.broadcast(models), "imputation").filter("fold <> off")
+    train = train.filter("model = 'g' or (model = 'q0' and treatment = 0) or (model = 'q1' and treatment = 1)")
+    target = F.when(F.col("model") == "g", F.col("treatment")).otherwise(F.col("outcome"))
+    train = train.withColumn("miss", target - F.lit(1.0) / (F.lit(1.0) + F.exp(-logistic.dot("x", "b", p))))
+    sums = [f"sum(miss * get(x, {i})) - get(first(b), {i}) * get(first(penalty), {i})" for i in range(p)] + ["sum(miss)"]
+    out = train.groupBy("imputation", F.col("off").alias("fold"), "model").agg(F.expr(f"array({', '.join(sums)})").alias("score"))
+    return out.select("imputation", "fold", "model", F.coalesce(F.forall("score", lambda x: F.abs(x) < 1e-3), F.lit(False)).alias("settled"))
 
 
 @query(
@@ -283,10 +380,10 @@ _EPS = f"""{TRIM_BOUNDS.strip()},
 def _steps(spark, d, replicates=0):
     s = scores(spark, d).persist()
     deep = trim_depth(s, trim_bounds(s, GROUP, TRIMS, "g"), GROUP, "g")
-    rows = spread(deep.select(
+    rows = deep.select(
         F.col("imputation").alias("group"), "depth", hash_long(1, *[F.col(k) for k in KEYS]).alias("row"),
         F.col("treatment").cast("double").alias("t"), F.col("outcome").cast("double").alias("y"), "g", "q0", "q1",
-    )).persist()
+    ).persist()
     groups = sorted(r.group for r in rows.select("group").distinct().collect())
     out = fluctuation(rows, groups, TRIMS, replicates)
     rows.unpersist()
@@ -326,12 +423,28 @@ def _(spark, d):
 @query(
     "e15_bootstrap",
     f"""with recursive {_EPS} select n.imputation, n.trim, any_value(n.eps) as eps, ln(avg(1 / (1 + exp(-(ln(q1 / (1 - q1)) + eps / g))))
-      / avg(1 / (1 + exp(-(ln(q0 / (1 - q0)) - eps / (1 - g)))))) as log_rr, true as positive
+      / avg(1 / (1 + exp(-(ln(q0 / (1 - q0)) - eps / (1 - g)))))) as log_rr, true as near
     from r join newton n on r.imputation = n.imputation and r.trim = n.trim and n.i = 12 group by n.imputation, n.trim""",
     doubles="trim eps log_rr", ints="imputation",
 )
 def _(spark, d):
-    return _steps(spark, d, 200).select("imputation", "trim", "eps", "log_rr", ((F.col("se") > 0) & (F.col("status") == "ok")).alias("positive"))
+    """The standard error of 200 replicates is within Monte-Carlo error of the one that influence functions give."""
+    found = _steps(spark, d, 200)
+    s = scores(spark, d)
+    deep = trim_depth(s, trim_bounds(s, GROUP, TRIMS, "g"), GROUP, "g")
+    rows = deep.join(F.broadcast(found), "imputation").filter(F.col("depth") > F.round(F.col("trim") * 100) - 1)
+    t, y = F.col("treatment").cast("double"), F.col("outcome").cast("double")
+    p = perturbed(F.col("q0"), F.col("q1"), F.col("g"), t, F.col("eps"))
+    p1, p0 = (perturbed(F.col("q0"), F.col("q1"), F.col("g"), F.lit(a), F.col("eps")) for a in (1.0, 0.0))
+    h = clever_covariate(t, F.col("g"))
+    rows = rows.select("imputation", "trim", p1.alias("p1"), p0.alias("p0"), (h * (y - p)).alias("s"), (h * h * p * (1 - p)).alias("i"), (p1 * (1 - p1) / F.col("g")).alias("d1"), (p0 * (1 - p0) / (1 - F.col("g"))).alias("d0"))
+    means = rows.groupBy("imputation", "trim").agg(*[F.avg(c).alias(f"m_{c}") for c in ("p1", "p0", "i", "d1", "d0")])
+    both = rows.join(F.broadcast(means), ["imputation", "trim"])
+    step = F.col("s") / F.col("m_i")
+    part = (F.col("p1") - F.col("m_p1") + F.col("m_d1") * step) / F.col("m_p1") - (F.col("p0") - F.col("m_p0") - F.col("m_d0") * step) / F.col("m_p0")
+    closed = both.groupBy("imputation", "trim").agg((F.stddev_pop(part) / F.sqrt(F.count(F.lit(1)))).alias("closed"))
+    near = (F.col("status") == "ok") & F.col("se").between(0.75 * F.col("closed"), 1.33 * F.col("closed"))
+    return found.join(closed, ["imputation", "trim"]).select("imputation", "trim", "eps", "log_rr", F.coalesce(near, F.lit(False)).alias("near"))
 
 
 @query(

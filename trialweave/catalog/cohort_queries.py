@@ -107,8 +107,12 @@ def _(spark, d):
     "select trial_start, count(*) as n, count(distinct patid) as patients from arms group by trial_start",
 )
 def _(spark, d):
-    path = scratch(spark)
-    storage.write_cohort(small_cohort(spark, d), path)
+    """One month is first written with half of its patients, then again as a whole; the others are written once."""
+    path, month = scratch(spark), F.col("trial_start") == F.lit("1996-07-01").cast("date")
+    trials = small_cohort(spark, d).persist()
+    storage.write_cohort(trials.filter(~month | (F.col("patid") % 2 == 0)), path)
+    storage.refresh_trials(trials.filter(month), path)
+    trials.unpersist()
     return (
         storage.read_cohort(spark, path)
         .groupBy("trial_start")
@@ -569,7 +573,9 @@ def _(spark, d):
 
 @query("u2_arms_union", "select patid, trial_start, treatment from arms", ints="treatment")
 def _(spark, d):
-    return small_cohort(spark, d).select(*KEYS, "treatment")
+    rows = small_cohort(spark, d).select(*KEYS, "treatment")
+    treated, controls = rows.filter("treatment = 1"), rows.filter("treatment = 0")
+    return treated.unionByName(controls.select("treatment", *KEYS))
 
 
 @query(

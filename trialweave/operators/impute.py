@@ -46,6 +46,8 @@ class Variable:
     counts: tuple[int, ...] = ()
     mean: float = 0.0
     sd: float = 1.0
+    low: float = 0.0
+    high: float = 0.0
 
     @property
     def method(self) -> str:
@@ -71,15 +73,23 @@ class Variable:
     def encoded(self) -> Column:
         """Numbers as double, categories as position in the sorted level list."""
         if self.numeric:
-            return quoted(self.name).try_cast("double").alias(self.name)
+            return as_known(self.name).alias(self.name)
         place = F.array_position(F.array(*[F.lit(v) for v in self.levels]), quoted(self.name).cast("string"))
         return F.when(place > 0, (place - 1).cast("int")).alias(self.name)
 
-    def decoded(self, dtype) -> Column:
+    def decoded(self, dtype, value: Column | None = None) -> Column:
+        """The column again, from its code or number (by default in the column of its name)."""
+        value = quoted(self.name) if value is None else value
         if self.numeric:
-            return quoted(self.name).cast(dtype).alias(self.name)
-        texts = F.array(*[F.lit(v) for v in self.levels])
-        return F.get(texts, quoted(self.name)).cast(dtype).alias(self.name)
+            return value.cast(dtype).alias(self.name)
+        texts = F.array(*[F.lit(v) for v in self.levels]).cast("array<string>")
+        return F.get(texts, value.cast("int")).cast(dtype).alias(self.name)
+
+
+def as_known(name: str) -> Column:
+    """A number, or NULL where it is missing, no number or NaN."""
+    x = quoted(name).try_cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def variables(df: DataFrame, numeric: list[str], categories: list[str]) -> list[Variable]:
@@ -90,9 +100,9 @@ def variables(df: DataFrame, numeric: list[str], categories: list[str]) -> list[
     stats = df.agg(
         F.count(F.lit(1)).alias("__rows"),
         *[
-            f(quoted(c).try_cast("double")).alias(f"{c}__{tag}")
+            f(as_known(c)).alias(f"{c}__{tag}")
             for c in numeric
-            for tag, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))
+            for tag, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop), ("low", F.min), ("high", F.max))
         ],
     ).first()
     out = []
@@ -103,9 +113,8 @@ def variables(df: DataFrame, numeric: list[str], categories: list[str]) -> list[
         out.append(Variable(c, False, seen.get(None, 0), sum(cnt), tuple(lev), cnt))
     for c in numeric:
         k = stats[f"{c}__n"]
-        out.append(
-            Variable(c, True, stats["__rows"] - k, k, mean=stats[f"{c}__mean"] or 0.0, sd=stats[f"{c}__sd"] or 0.0)
-        )
+        seen = {tag: stats[f"{c}__{tag}"] or 0.0 for tag in ("mean", "sd", "low", "high")}
+        out.append(Variable(c, True, stats["__rows"] - k, k, **seen))
     return out
 
 

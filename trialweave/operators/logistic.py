@@ -9,6 +9,7 @@ sums; the driver solves systems of the size of the feature list.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,8 +48,10 @@ def _softmax(eta: np.ndarray) -> np.ndarray:
     return e / (np.exp(-top) + e.sum(axis=1))[:, None]
 
 
-def _partial_sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
+def _partial_sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     """n, log-likelihood, score and information (upper blocks in full) of one batch."""
+    if weight is not None:  # few rows: one by one
+        return sum(w * _partial_sums(x[i : i + 1], y[i : i + 1], beta) for i, w in enumerate(weight))
     k = beta.shape[0]
     eta = x @ beta.T
     p = _softmax(eta)
@@ -77,29 +80,39 @@ def fit(
     groups: list[int],
     max_passes: int = 40,
     tol: float = 1e-7,
+    read: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None,
+    start: dict[tuple[int, str], np.ndarray] | None = None,
+    pseudo: dict[tuple[int, str], tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None,
 ) -> Fit:
     """Maximise log-likelihood - 1/2 sum(penalty * b^2), intercept free, for all models.
 
-    ``rows`` comes from :func:`model_rows` and should be persisted.
+    ``rows`` comes from :func:`model_rows` and should be persisted; ``read`` takes group, feature and class arrays from
+    other batches. ``pseudo`` are weighted rows (features, classes, weights) that count like read ones, ``start``
+    the coefficients to begin with.
     """
     keys = [(g, i) for g in groups for i in range(len(tasks))]
     pen = {}
     for g, i in keys:
         v = penalty if isinstance(penalty, float) else penalty[(g, tasks[i].name)]
         pen[(g, i)] = np.append(np.broadcast_to(v, (p,)), 0.0)
-    beta = {k: np.zeros((tasks[k[1]].classes - 1, p + 1)) for k in keys}
+    zero = {(g, i): np.zeros((tasks[i].classes - 1, p + 1)) for g, i in keys}
+    beta = {(g, i): (start or {}).get((g, tasks[i].name), zero[(g, i)]) for g, i in keys}
     best: dict = {}
     result = Fit()
     active = dict(beta)
     while active and result.passes < max_passes:
         result.passes += 1
-        sums = _pass(rows, active, p)
+        sums = _pass(rows, active, p, read)
         nxt = {}
         for key, b in active.items():
             g, i = key
             name = (g, tasks[i].name)
             k = b.shape[0]
             s = sums.get(key)
+            if pseudo and name in pseudo:
+                px, py, pw = pseudo[name]
+                if len(pw):
+                    s = (0 if s is None else s) + _partial_sums(np.column_stack([px, np.ones(len(px))]), py, b, pw)
             counts = s[: k + 1] if s is not None else np.zeros(k + 1)
             if s is None or (counts > 0).sum() < 2:
                 result.coef[name], result.status[name] = np.full((k, p + 1), np.nan), "single class"
@@ -124,16 +137,23 @@ def fit(
     return result
 
 
-def _pass(rows: DataFrame, beta: dict[tuple[int, int], np.ndarray], p: int) -> dict[tuple[int, int], np.ndarray]:
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = batch.num_rows
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    return batch.column("group").to_numpy(), x, batch.column("y").flatten().to_numpy().reshape(n, -1)
+
+
+def _pass(rows: DataFrame, beta: dict[tuple[int, int], np.ndarray], p: int, read: Callable | None = None) -> dict[tuple[int, int], np.ndarray]:
     """One read of the table: summed statistics of every model still moving."""
+    read = read or _read
 
     def partials(batches):
         total: dict = {}
         for batch in batches:
-            group = batch.column("group").to_numpy()
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            if not batch.num_rows:
+                continue
+            group, x, y = read(batch)
             x = np.column_stack([x, np.ones(len(x))])
-            y = batch.column("y").flatten().to_numpy().reshape(len(x), -1)
             for (g, i), b in beta.items():
                 use = ((group == g) | (group == EVERY_GROUP)) & (y[:, i] >= 0)
                 if use.any():

@@ -18,28 +18,59 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 ROWS_PER_BUCKET = 20_000
+#: Up to so many buckets are cut at one level.
+FEW_BUCKETS = 64
 
 
 def with_buckets(df: DataFrame, score: str, tiebreak: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None) -> DataFrame:
     """Add ``__bucket`` and ``__sub``; (bucket, sub) order agrees with (score, tiebreak) order.
 
     The number of buckets follows from the number of rows, counted unless the caller knows it. A value that fills several quantiles has as many
-    sub-buckets, so there are at most two times as many places as buckets.
+    sub-buckets, so there are at most twice as many places as buckets.
+
+    Cuts come in two levels. The coarse ones, as many as the square root of the buckets, are quantiles of a sketch of that
+    size and the only ones in the plan; each coarse range then has its own sketch, made in parallel, whose cuts are a
+    table of one row per range. So no sketch and no literal grows faster than the square root of the rows.
     """
     buckets = max(1, -(-(df.count() if rows is None else rows) // rows_per_bucket))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = (df.agg(F.percentile_approx(score, probs, 10 * buckets)).first()[0] or []) if probs else []
+    coarse = buckets if buckets <= FEW_BUCKETS else math.isqrt(buckets - 1) + 1
+    fine = -(-buckets // coarse)
+    probs = [i / coarse for i in range(1, coarse)]
+    cuts = (df.agg(F.percentile_approx(score, probs, 10 * coarse)).first()[0] or []) if probs else []
     hot = {v: n + 1 for v, n in Counter(cuts).items() if n > 1}
     inner = sorted({*cuts, *(math.nextafter(v, math.inf) for v in hot)})
     if not inner:
-        return df.withColumns({"__bucket": F.lit(0), "__sub": F.lit(0)})
+        return df.withColumns({"__bucket": F.lit(0).cast("long"), "__sub": F.lit(0)})
     splits = [-math.inf, *inner, math.inf]
     out = Bucketizer(splits=splits, inputCol=score, outputCol="__bucket").transform(df)
-    out = out.withColumn("__bucket", F.col("__bucket").cast("int"))
-    if not hot or tiebreak is None:
+    out = out.withColumn("__bucket", F.col("__bucket").cast("long"))
+    # How many places a single frequent value is worth; other ranges count 1.
+    parts = F.get(F.lit([hot.get(v, 1) * (fine if v in hot else 1) for v in splits]), F.col("__bucket").cast("int"))
+    if fine > 1:
+        probs = [i / fine for i in range(1, fine)]
+        ranges = out.groupBy("__bucket").agg(F.percentile_approx(score, probs, 10 * fine).alias("__cuts"))
+        out = out.join(ranges, "__bucket")
+        below, upto = _cuts_before(score, "<"), _cuts_before(score, "<=")
+        out = out.withColumns({"__below": below, "__upto": upto})
+        # Rows equal to a cut lie between those below and those above it.
+        equal = F.col("__upto") > F.col("__below")
+        place = F.col("__bucket") * F.lit(1 << 32) + F.col("__upto") * 2 + F.when(equal, 0).otherwise(1)
+        parts = F.greatest(parts, F.when(equal, F.col("__upto") - F.col("__below") + 1).otherwise(1))
+        out = out.withColumns({"__parts": parts, "__bucket": place}).drop("__cuts", "__below", "__upto")
+        parts = F.col("__parts")
+    elif not hot:
         return out.withColumn("__sub", F.lit(0))
-    parts = F.lit([hot.get(v, 1) for v in splits])
-    return out.withColumn("__sub", F.floor(F.col(tiebreak) * F.get(parts, F.col("__bucket"))).cast("int"))
+    sub = F.lit(0) if tiebreak is None else F.floor(F.col(tiebreak) * parts).cast("int")
+    return out.withColumn("__sub", sub).drop("__parts")
+
+
+def _cuts_before(score: str, sign: str) -> Column:
+    """How many of the sorted ``__cuts`` lie before the score, by halving."""
+    return F.expr(
+        f"aggregate(sequence(1, 32), struct(0 as lo, size(__cuts) as hi), (a, i) -> if(a.lo >= a.hi, a, "
+        f"if(__cuts[(a.lo + a.hi) div 2] {sign} `{score}`, struct(cast((a.lo + a.hi) div 2 + 1 as int) as lo, a.hi as hi), "
+        f"struct(a.lo as lo, cast((a.lo + a.hi) div 2 as int) as hi))), a -> a.lo)"
+    )
 
 
 def sorted_neighbours(
@@ -171,13 +202,14 @@ def exact_quantiles(
     return picked.groupBy(*groups, "prob").agg((lo + (hi - lo) * frac).alias("value"))
 
 
-def numbered(df: DataFrame, groups: list[str], hashed: Column, name: str) -> DataFrame:
+def numbered(df: DataFrame, groups: list[str], hashed: Column, name: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Number the rows of each group 1, 2, ... in hash order, exactly and in parallel.
 
-    Hash ranges are even by construction; their start numbers come from a table of one row
+    Hash ranges are even by construction and as many as the rows need; their start numbers come from a table of one row
     per group and range.
     """
-    df = df.withColumn("__hash", hashed).withColumn("__range", F.shiftrightunsigned("__hash", 54).cast("int"))
+    bits = min(62, max(1, math.ceil(math.log2(max(1, df.count() / rows_per_bucket))) + 1))
+    df = df.withColumn("__hash", hashed).withColumn("__range", F.shiftrightunsigned("__hash", 64 - bits))
     place = [*groups, "__range"]
     starts = df.groupBy(*place).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -187,7 +219,7 @@ def numbered(df: DataFrame, groups: list[str], hashed: Column, name: str) -> Dat
     # where adaptive coalescing would pack small rows into few tasks.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        df.join(F.broadcast(starts), place)
+        df.join(starts, place)
         .repartition(parts, *place)
         .withColumn(name, nth + F.col("__start"))
         .drop("__hash", "__range", "__start")

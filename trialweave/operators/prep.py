@@ -51,6 +51,8 @@ def with_followup(df: DataFrame, spec: AnalysisSpec = AnalysisSpec(), event_rule
 
 def levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
     """Sorted levels of each category. One job; its result is as long as the list of dummy columns."""
+    if not columns:
+        return {}
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), as_level(F.col(c)).alias("level")) for c in columns])
     rows = df.select(F.inline(pairs)).distinct().collect()
     return {c: sorted(r.level for r in rows if r.name == c) for c in columns}

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ G_CLIP = 1e-6
 Q_CLIP = 1e-8
 MIN_ROWS = 10
 CHUNK = 2048
+#: Rows of a leaf of the tree that draws are split down.
+PER_LEAF = 1024
 
 
 def stratified_folds(df: DataFrame, groups: list[str], keys: list[str], treatment: str, folds: int, seed: int) -> DataFrame:
@@ -45,16 +48,73 @@ def risk_ratio(df: DataFrame, groups: list[str], eps: Column) -> DataFrame:
     return df.groupBy(*groups).agg((r1 / r0).alias("rr"))
 
 
-def _poisson_counts(row: np.ndarray, replicates: int) -> np.ndarray:
-    """Poisson(1) copies of each row in each replicate, a function of the row's hash only."""
-    with np.errstate(over="ignore"):
-        z = row.astype(np.uint64)[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    u = (z >> np.uint64(11)).astype(float) / 2.0**53
-    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
-    return np.searchsorted(cdf, u.ravel(), side="right").reshape(u.shape).astype(float)
+def with_draws(rows: DataFrame, levels: int, seed: int = 0, per_leaf: int = PER_LEAF) -> DataFrame:
+    """``rows`` dealt so that resampling with exactly n draws needs no look beyond a task.
+
+    Row hashes are the leaves of a binary tree of hash ranges of about ``per_leaf`` rows each. For every leaf one row
+    (``kind`` 0) comes first: ``nodes`` holds, for every node on the way to the leaf and every trim level, how
+    many rows lie below the node and below its left child. That is all that :func:`leaf_counts` needs to split the draws
+    of a replicate down to the leaf, the same in whichever task.
+    """
+    groups = max(1, rows.select("group").distinct().count())
+    bits = max(0, math.ceil(math.log2(max(1, rows.count() / groups / per_leaf))))
+    leaf = F.shiftrightunsigned("row", 64 - bits) if bits else F.lit(0).cast("long")
+    rows = rows.withColumn("leaf", leaf)
+    below = F.array(*[F.sum((F.col("depth") > j).cast("long")) for j in range(levels)])
+    leaves = rows.groupBy("group", "leaf").agg(below.alias("n"))
+    up = leaves.select("group", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("d"), "leaf", "n").withColumn("place", F.expr(f"shiftright(leaf, {bits} - d)"))
+    nodes = up.groupBy("group", "d", "place").agg(F.array(*[F.sum(F.get("n", F.lit(j))) for j in range(levels)]).alias("n"))
+    left = nodes.filter("d > 0 and place % 2 = 0").select("group", (F.col("d") - 1).alias("d"), F.expr("shiftright(place, 1)").alias("place"), F.col("n").alias("left"))
+    nodes = nodes.join(left, ["group", "d", "place"], "left").withColumn("left", F.coalesce("left", F.array_repeat(F.lit(0).cast("long"), levels)))
+    path = up.drop("n").join(nodes, ["group", "d", "place"]).groupBy("group", "leaf").agg(F.array_sort(F.collect_list(F.struct("d", "n", "left"))).alias("p"))
+    path = path.select("group", "leaf", F.flatten(F.transform("p", lambda x: F.concat(x["n"], x["left"]))).alias("nodes"))
+    columns = ["row", "depth", "t", "y", "g", "q0", "q1"]
+    types = dict(rows.dtypes)
+    head = path.select("group", "leaf", F.lit(0).alias("kind"), *[F.lit(None).cast(types[c]).alias(c) for c in columns], "nodes")
+    body = rows.select("group", "leaf", F.lit(1).alias("kind"), *columns, F.lit(None).cast("array<bigint>").alias("nodes"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = head.unionByName(body).repartition(parts, "group", "leaf")
+    return dealt.sortWithinPartitions("group", "leaf", "kind", *columns)
+
+
+def leaf_counts(nodes: np.ndarray, group: int, leaf: int, level: int, replicates: int, seed: int = 0) -> np.ndarray:
+    """How often each of a leaf's rows is drawn in each replicate: rows x replicates, at one trim level.
+
+    ``nodes``: depths x (rows below, rows below the left child) x levels. A node's draws are split between its children
+    by a binomial number that depends on the node only, and a leaf's fall on its rows evenly.
+    """
+    n, bits = int(nodes[-1, 0, level]), len(nodes) - 1
+    draws = np.full(replicates, nodes[0, 0, level], np.int64)
+    for d in range(bits):
+        place = leaf >> (bits - d)
+        total, left = nodes[d, :, level]
+        rng = np.random.default_rng([seed, 1, group, level, d, place])
+        to_left = rng.binomial(draws, left / total) if total else draws * 0
+        draws = draws - to_left if leaf >> (bits - d - 1) & 1 else to_left
+    rng = np.random.default_rng([seed, 2, group, level, leaf])
+    picks = rng.integers(0, max(n, 1), int(draws.sum())) * replicates + np.repeat(np.arange(replicates), draws)
+    return np.bincount(picks, minlength=n * replicates).reshape(n, replicates).astype(float)
+
+
+def _leaves(batches, levels: int):
+    """Group, leaf, nodes and rows of every leaf of a task; a leaf's rows come in a row."""
+    now, nodes, held = None, None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.column_stack([b.column(c).to_numpy() for c in ("group", "leaf", "kind")])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if tuple(keys[i][:2]) != now:
+                if held:
+                    yield (*now, nodes, pa.Table.from_batches(held))
+                now, held = tuple(int(k) for k in keys[i][:2]), []
+            if keys[i][2] == 0:
+                nodes = np.array(b.column("nodes")[i].as_py(), np.int64).reshape(-1, 2, levels)
+            else:
+                held.append(b.slice(i, j - i))
+    if held:
+        yield (*now, nodes, pa.Table.from_batches(held))
 
 
 def _logit(q):
@@ -67,40 +127,39 @@ def _expit(x):
 
 
 def _sums(
-    rows: DataFrame, eps: dict[int, np.ndarray], replicates: int, means: bool, levels: set[tuple[int, int]]
+    rows: DataFrame, eps: dict[int, np.ndarray], replicates: int, means: bool, levels: set[tuple[int, int]], seed: int = 0
 ) -> dict[tuple[int, int], np.ndarray]:
     """One pass: per group, trim level and replicate the two sums the step needs.
 
-    Replicate 0 counts each row once (the point estimate). ``means`` selects the sums of
-    both potential outcomes instead of score and information.
+    ``rows`` comes from :func:`with_draws`. Replicate 0 counts each row once (the point estimate). ``means`` selects
+    the sums of both potential outcomes instead of score and information.
     """
+    deep = len(next(iter(eps.values()))) if eps else 0
 
     def partials(batches):
         total: dict = {}
-        for batch in batches:
-            col = {n: batch.column(n).to_numpy() for n in ("group", "depth", "row", "t", "y", "g", "q0", "q1")}
-            for first in range(0, batch.num_rows, CHUNK):
-                c = {n: v[first : first + CHUNK] for n, v in col.items()}
-                counts = np.column_stack([np.ones(len(c["row"])), _poisson_counts(c["row"], replicates)])
-                g = np.clip(c["g"], G_CLIP, 1 - G_CLIP)
-                l0, l1, t, y = _logit(c["q0"]), _logit(c["q1"]), c["t"], c["y"]
-                h, own = t / g - (1 - t) / (1 - g), np.where(t == 1, l1, l0)
-                for grp in np.unique(c["group"]):
-                    for j in range(eps[grp].shape[0]):
-                        k = (c["group"] == grp) & (c["depth"] > j)
-                        if (grp, j) not in levels or not k.any():
-                            continue
-                        e, n = eps[grp][j][None, :], counts[k]
-                        if means:
-                            a = (n * _expit(l1[k, None] + e / g[k, None])).sum(axis=0)
-                            b = (n * _expit(l0[k, None] - e / (1 - g[k, None]))).sum(axis=0)
-                        else:
-                            p = _expit(own[k, None] + e * h[k, None])
-                            a = (n * h[k, None] * (y[k, None] - p)).sum(axis=0)
-                            b = (n * (h[k, None] ** 2) * p * (1 - p)).sum(axis=0)
-                        part = np.concatenate([a, b, [k.sum()]])
-                        key = (int(grp), j)
-                        total[key] = total[key] + part if key in total else part
+        for grp, leaf, nodes, part in _leaves(batches, deep):
+            c = {n: part.column(n).to_numpy() for n in ("depth", "t", "y", "g", "q0", "q1")}
+            g = np.clip(c["g"], G_CLIP, 1 - G_CLIP)
+            l0, l1, t, y = _logit(c["q0"]), _logit(c["q1"]), c["t"], c["y"]
+            h, own = t / g - (1 - t) / (1 - g), np.where(t == 1, l1, l0)
+            for j in range(deep):
+                rows_ = np.flatnonzero(c["depth"] > j)
+                if (grp, j) not in levels or not len(rows_):
+                    continue
+                e = eps[grp][j][None, :]
+                drawn = np.column_stack([np.ones(len(rows_)), leaf_counts(nodes, grp, leaf, j, replicates, seed)])
+                for first in range(0, len(rows_), CHUNK):
+                    k, n = rows_[first : first + CHUNK], drawn[first : first + CHUNK]
+                    if means:
+                        a = (n * _expit(l1[k, None] + e / g[k, None])).sum(axis=0)
+                        b = (n * _expit(l0[k, None] - e / (1 - g[k, None]))).sum(axis=0)
+                    else:
+                        p = _expit(own[k, None] + e * h[k, None])
+                        a = (n * h[k, None] * (y[k, None] - p)).sum(axis=0)
+                        b = (n * (h[k, None] ** 2) * p * (1 - p)).sum(axis=0)
+                    sums = np.concatenate([a, b, [len(k)]])
+                    total[(grp, j)] = total[(grp, j)] + sums if (grp, j) in total else sums
         if total:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -116,11 +175,6 @@ def _sums(
     return {(r.group, r.level): r.sums.toArray() for r in out.collect()}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even partitions by row hash, for passes that compute far more than they read."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
-
-
 def fluctuation(
     rows: DataFrame,
     groups: list[int],
@@ -129,17 +183,18 @@ def fluctuation(
     tol: float = 1e-9,
     max_passes: int = 30,
     replicate_tol: float = 1e-6,
+    seed: int = 0,
 ) -> list[tuple[int, float, float | None, float | None, float | None, str]]:
     """``(group, trim, eps, log risk ratio, its bootstrap SE, status)`` for all trim levels.
 
-    ``rows``: ``group, depth, row (hash), t, y, g, q0, q1``; read once per pass for all levels
+    ``rows``: ``group, depth, row (hash), t, y, g, q0, q1``; dealt once, and read once per pass for all levels
     and replicates together. The driver holds one number per group, level and replicate.
-    Replicates weight rows by Poisson(1) counts, the large-sample form of drawing rows with
-    replacement. Newton steps that leave the bracket known from earlier signs are bisected. An estimate that has
+    A replicate of a level draws exactly as many rows as the level has, with replacement. Newton steps that leave the bracket known from earlier signs are bisected. An estimate that has
     not settled after ``max_passes`` is NULL; replicates that have not do not count for the error.
     """
     close = np.array([tol] + [replicate_tol] * replicates)
     shape = (len(trims), replicates + 1)
+    rows = with_draws(rows, len(trims), seed).persist(StorageLevel.MEMORY_AND_DISK)
     eps = {g: np.zeros(shape) for g in groups}
     lo = {g: np.full(shape, -np.inf) for g in groups}
     hi = {g: np.full(shape, np.inf) for g in groups}
@@ -147,7 +202,7 @@ def fluctuation(
     every = {(g, j) for g in groups for j in range(shape[0])}
     for _ in range(max_passes):
         moving = {(g, j) for g, j in every if not done[g][j].all()}
-        sums = _sums(rows, eps, replicates, False, moving)
+        sums = _sums(rows, eps, replicates, False, moving, seed)
         for g, j in moving:
             s = sums.get((g, j))
             if s is None:
@@ -169,7 +224,8 @@ def fluctuation(
             eps[g][j] = new
         if all(d.all() for d in done.values()):
             break
-    sums = _sums(rows, eps, replicates, True, every)
+    sums = _sums(rows, eps, replicates, True, every, seed)
+    rows.unpersist()
     out = []
     for g in groups:
         for j, trim in enumerate(sorted(trims)):

@@ -16,7 +16,7 @@ from trialweave.operators import logistic, prep
 from trialweave.operators.cox import SUMS, cox, risk_table
 from trialweave.operators.matching import matched_sample, nearest_controls
 from trialweave.operators.pool import report
-from trialweave.operators.tmle import fluctuation, spread, stratified_folds
+from trialweave.operators.tmle import fluctuation, stratified_folds
 from trialweave.operators.weights import by_trim, stabilised_weights, trim_bounds, trim_depth
 from trialweave.study import KEY, AnalysisSpec
 
@@ -145,7 +145,7 @@ def cv_tmle(scores: DataFrame, spec: AnalysisSpec) -> DataFrame:
     good = scores.filter(~F.col("imputation").isin(*failed)) if failed else scores
     bounds = trim_bounds(good, GROUP, spec.trims, score="g")
     deep = trim_depth(good, bounds, GROUP, score="g")
-    rows = spread(deep.select(
+    rows = deep.select(
         F.col("imputation").alias("group"),
         "depth",
         hash_long(spec.seed, *[F.col(k) for k in KEY]).alias("row"),
@@ -153,11 +153,11 @@ def cv_tmle(scores: DataFrame, spec: AnalysisSpec) -> DataFrame:
         "g",
         "q0",
         "q1",
-    )).persist(StorageLevel.MEMORY_AND_DISK)
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     groups = sorted(r.group for r in rows.select("group").distinct().collect())
     out = [
         (g, "CV-TMLE", trim, est, se, status)
-        for g, trim, _, est, se, status in fluctuation(rows, groups, spec.trims, spec.replicates)
+        for g, trim, _, est, se, status in fluctuation(rows, groups, spec.trims, spec.replicates, seed=spec.seed)
     ]
     out += [(g, "CV-TMLE", float(t), None, None, "outcome model failed") for g in sorted(failed) for t in spec.trims]
     rows.unpersist()

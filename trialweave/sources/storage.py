@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -65,6 +66,12 @@ def write_cohort(cohort: DataFrame, path: str) -> None:
     cohort.hint("rebalance", "trial_start").write.mode("overwrite").partitionBy("trial_start").parquet(path)
 
 
+def refresh_trials(trials: DataFrame, path: str) -> None:
+    """Write the trial starts in ``trials`` again, in a dataset of :func:`write_cohort`; all others' files stay as they are."""
+    rows = trials.hint("rebalance", "trial_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("trial_start").parquet(path)
+
+
 def read_cohort(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return strict_columns(df, columns) if columns else df
@@ -80,6 +87,12 @@ def write_completed(completed: DataFrame, path: str) -> None:
     completed.hint("rebalance", "imputation").write.mode("overwrite").partitionBy("imputation").parquet(path)
 
 
+def refresh_completed(completed: DataFrame, path: str) -> None:
+    """Write some completed data sets again; the other imputations' files stay as they are."""
+    rows = completed.hint("rebalance", "imputation").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("imputation").parquet(path)
+
+
 def read_completed(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Completed data sets; an empty source is an error."""
     df = spark.read.parquet(path)
@@ -105,7 +118,44 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class StepLog:
+    """Small JSON files in ``folder/log``: one that heads a run, and one a step. Each is replaced as a whole."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, f"{folder}/log"
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _put(self, name: str, entry: dict) -> None:
+        new, place = self.path(f"{self.folder}/.{name}.new"), self.path(f"{self.folder}/{name}")
+        out = self.files.create(new, True)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        self.files.delete(place, False)
+        self.files.rename(new, place)
+
+    def _all(self) -> dict[str, dict]:
+        if not self.files.exists(self.path(self.folder)):
+            return {}
+        rows = self.spark.read.option("wholetext", True).text(self.folder).select("value", F.col("_metadata.file_name").alias("name")).collect()
+        return {r.name: json.loads(r.value) for r in rows}
+
+    def begin(self, entry: dict) -> None:
+        self._put("head", entry)
+
+    def write(self, step: int, entry: dict) -> None:
+        self._put(f"step-{step:06d}", entry)
+
+    def head(self) -> dict | None:
+        return self._all().get("head")
+
+    def entries(self) -> list[dict]:
+        """The steps in order."""
+        found = self._all()
+        return [found[k] for k in sorted(found) if k.startswith("step-")]
+
+
 def cut_lineage(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """``df`` as a written table, so what is built on it repeats no earlier step."""
-    df.write.parquet(f"{folder}/{name}")
+    """``df`` as a written table, so what is built on it repeats no earlier step; a half-written one is replaced."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")

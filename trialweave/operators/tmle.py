@@ -21,7 +21,7 @@ Q_CLIP = 1e-8
 MIN_ROWS = 10
 CHUNK = 2048
 #: Rows of a leaf of the tree that draws are split down.
-PER_LEAF = 1024
+PER_LEAF = 256
 
 
 def stratified_folds(df: DataFrame, groups: list[str], keys: list[str], treatment: str, folds: int, seed: int) -> DataFrame:
@@ -78,12 +78,14 @@ def with_draws(rows: DataFrame, levels: int, seed: int = 0, per_leaf: int = PER_
 
 
 def leaf_counts(nodes: np.ndarray, group: int, leaf: int, level: int, replicates: int, seed: int = 0) -> np.ndarray:
-    """How often each of a leaf's rows is drawn in each replicate: rows x replicates, at one trim level.
+    """How often each of a leaf's rows is drawn in each replicate: replicates x rows, at one trim level.
 
     ``nodes``: depths x (rows below, rows below the left child) x levels. A node's draws are split between its children
     by a binomial number that depends on the node only, and a leaf's fall on its rows evenly.
     """
     n, bits = int(nodes[-1, 0, level]), len(nodes) - 1
+    if not replicates:
+        return np.zeros((0, n), np.int64)
     draws = np.full(replicates, nodes[0, 0, level], np.int64)
     for d in range(bits):
         place = leaf >> (bits - d)
@@ -92,8 +94,8 @@ def leaf_counts(nodes: np.ndarray, group: int, leaf: int, level: int, replicates
         to_left = rng.binomial(draws, left / total) if total else draws * 0
         draws = draws - to_left if leaf >> (bits - d - 1) & 1 else to_left
     rng = np.random.default_rng([seed, 2, group, level, leaf])
-    picks = rng.integers(0, max(n, 1), int(draws.sum())) * replicates + np.repeat(np.arange(replicates), draws)
-    return np.bincount(picks, minlength=n * replicates).reshape(n, replicates).astype(float)
+    picks = rng.integers(0, max(n, 1), int(draws.sum()), dtype=np.uint32) + np.repeat(np.arange(replicates) * n, draws)
+    return np.bincount(picks, minlength=n * replicates).reshape(replicates, n)
 
 
 def _leaves(batches, levels: int):
@@ -123,7 +125,10 @@ def _logit(q):
 
 
 def _expit(x):
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
+    with np.errstate(over="ignore"):
+        x = np.exp(-x)
+        x += 1
+        return np.reciprocal(x, out=x)
 
 
 def _sums(
@@ -147,17 +152,19 @@ def _sums(
                 rows_ = np.flatnonzero(c["depth"] > j)
                 if (grp, j) not in levels or not len(rows_):
                     continue
-                e = eps[grp][j][None, :]
-                drawn = np.column_stack([np.ones(len(rows_)), leaf_counts(nodes, grp, leaf, j, replicates, seed)])
+                e = eps[grp][j][:, None]
+                drawn = np.vstack([np.ones((1, len(rows_)), np.int64), leaf_counts(nodes, grp, leaf, j, replicates, seed)])
                 for first in range(0, len(rows_), CHUNK):
-                    k, n = rows_[first : first + CHUNK], drawn[first : first + CHUNK]
+                    k, n = rows_[first : first + CHUNK], drawn[:, first : first + CHUNK].astype(float)
                     if means:
-                        a = (n * _expit(l1[k, None] + e / g[k, None])).sum(axis=0)
-                        b = (n * _expit(l0[k, None] - e / (1 - g[k, None]))).sum(axis=0)
+                        a = (n * _expit(l1[k] + e / g[k])).sum(axis=1)
+                        b = (n * _expit(l0[k] - e / (1 - g[k]))).sum(axis=1)
                     else:
-                        p = _expit(own[k, None] + e * h[k, None])
-                        a = (n * h[k, None] * (y[k, None] - p)).sum(axis=0)
-                        b = (n * (h[k, None] ** 2) * p * (1 - p)).sum(axis=0)
+                        p = _expit(own[k] + e * h[k])
+                        np_ = n * p
+                        a = n @ (h[k] * y[k]) - np_ @ h[k]
+                        p *= np_
+                        b = (np_ - p) @ h[k] ** 2
                     sums = np.concatenate([a, b, [len(k)]])
                     total[(grp, j)] = total[(grp, j)] + sums if (grp, j) in total else sums
         if total:
@@ -175,33 +182,17 @@ def _sums(
     return {(r.group, r.level): r.sums.toArray() for r in out.collect()}
 
 
-def fluctuation(
-    rows: DataFrame,
-    groups: list[int],
-    trims: tuple[float, ...],
-    replicates: int = 200,
-    tol: float = 1e-9,
-    max_passes: int = 30,
-    replicate_tol: float = 1e-6,
-    seed: int = 0,
-) -> list[tuple[int, float, float | None, float | None, float | None, str]]:
-    """``(group, trim, eps, log risk ratio, its bootstrap SE, status)`` for all trim levels.
-
-    ``rows``: ``group, depth, row (hash), t, y, g, q0, q1``; dealt once, and read once per pass for all levels
-    and replicates together. The driver holds one number per group, level and replicate.
-    A replicate of a level draws exactly as many rows as the level has, with replacement. Newton steps that leave the bracket known from earlier signs are bisected. An estimate that has
-    not settled after ``max_passes`` is NULL; replicates that have not do not count for the error.
-    """
-    close = np.array([tol] + [replicate_tol] * replicates)
-    shape = (len(trims), replicates + 1)
-    rows = with_draws(rows, len(trims), seed).persist(StorageLevel.MEMORY_AND_DISK)
-    eps = {g: np.zeros(shape) for g in groups}
-    lo = {g: np.full(shape, -np.inf) for g in groups}
-    hi = {g: np.full(shape, np.inf) for g in groups}
-    done = {g: np.zeros(shape, dtype=bool) for g in groups}
-    every = {(g, j) for g in groups for j in range(shape[0])}
+def _solve(rows: DataFrame, start: dict[int, np.ndarray], close: np.ndarray, max_passes: int, seed: int) -> tuple[dict, dict]:
+    """Roots of all scores by bracketed Newton steps, and which have settled; arrays of levels x replicates per group."""
+    replicates, groups = len(close) - 1, list(start)
+    eps = {g: e.copy() for g, e in start.items()}
+    lo = {g: np.full(e.shape, -np.inf) for g, e in eps.items()}
+    hi = {g: np.full(e.shape, np.inf) for g, e in eps.items()}
+    done = {g: np.zeros(e.shape, dtype=bool) for g, e in eps.items()}
     for _ in range(max_passes):
-        moving = {(g, j) for g, j in every if not done[g][j].all()}
+        moving = {(g, j) for g in groups for j in range(len(eps[g])) if not done[g][j].all()}
+        if not moving:
+            break
         sums = _sums(rows, eps, replicates, False, moving, seed)
         for g, j in moving:
             s = sums.get((g, j))
@@ -222,8 +213,39 @@ def fluctuation(
             new = np.where((score == 0) | done[g][j], e, new)
             done[g][j] |= small | (score == 0)
             eps[g][j] = new
-        if all(d.all() for d in done.values()):
-            break
+    return eps, done
+
+
+def fluctuation(
+    rows: DataFrame,
+    groups: list[int],
+    trims: tuple[float, ...],
+    replicates: int = 200,
+    tol: float = 1e-9,
+    max_passes: int = 30,
+    replicate_tol: float = 1e-4,
+    seed: int = 0,
+) -> list[tuple[int, float, float | None, float | None, float | None, str]]:
+    """``(group, trim, eps, log risk ratio, its bootstrap SE, status)`` for all trim levels.
+
+    ``rows``: ``group, depth, row (hash), t, y, g, q0, q1``; dealt once, and read once per pass for all levels
+    and replicates together. The driver holds one number per group, level and replicate.
+    A replicate of a level draws exactly as many rows as the level has, with replacement. Newton steps that leave the
+    bracket known from earlier signs are bisected. An estimate that has not settled after ``max_passes`` is NULL;
+    replicates that have not do not count for the error. A step's error is that of its square, hence the wider
+    tolerance for replicates.
+    """
+    rows = with_draws(rows, len(trims), seed).persist(StorageLevel.MEMORY_AND_DISK)
+    zero = {g: np.zeros((len(trims), 1)) for g in groups}
+    # The estimate first, which needs no draws; replicates then start from it.
+    eps, done = _solve(rows, zero, np.array([tol]), max_passes, seed)
+    if replicates:
+        first = {g: np.repeat(e, replicates + 1, axis=1) for g, e in eps.items()}
+        known = done
+        eps, done = _solve(rows, first, np.array([tol] + [replicate_tol] * replicates), max_passes, seed)
+        for g in groups:  # the estimate stays as it was solved
+            eps[g][:, 0], done[g][:, 0] = first[g][:, 0], known[g][:, 0]
+    every = {(g, j) for g in groups for j in range(len(trims))}
     sums = _sums(rows, eps, replicates, True, every, seed)
     rows.unpersist()
     out = []

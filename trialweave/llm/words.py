@@ -15,7 +15,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _SHIFT = np.uint64(33)
 #: Texts are worked on in slices of about so many bytes; one longer text is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -33,7 +33,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd number and of its inverse, modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
+        size = max(n, SLICE_BYTES + (1 << 14))
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, np.uint64)

@@ -5,10 +5,15 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from trialweave.catalog.base import raw
+from trialweave.catalog.cohort_queries import by_patient
 from trialweave.operators.calendar import TrialCalendar, add_months
 from trialweave.plans.cohort import build_trials
+from trialweave.sources import testtables as tt
 from trialweave.study import CohortSpec
 
+SF_DIR = "/root/testdata/sf0.001"
+
 PATIENT = "patid long, dob date, startdate date, enddate date, HF_date date, hf_type string, dod date, stroke_date date"
 MEASURE = "patid long, eventdate date, measure_name string, value_num double, value_str string"
 
@@ -87,3 +92,19 @@ def test_many_months_need_several_words(spark):
 def test_add_months_clips():
     assert add_months(date(2011, 1, 31), 1) == date(2011, 2, 28)
     assert add_months(date(2012, 3, 31), -1) == date(2012, 2, 29)
+
+
+def test_tables_dealt_by_patient_are_not_exchanged(spark):
+    """No exchange by patient in the whole cohort plan, also where no side is small enough to be broadcast."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        tables = by_patient(spark, SF_DIR)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        dealt = build_trials(*tables, tt.SPEC)
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        plain = build_trials(*raw(spark, SF_DIR), tt.SPEC)
+        assert "hashpartitioning(patid" in plain._jdf.queryExecution().executedPlan().toString()
+        assert dealt.exceptAll(plain).isEmpty() and dealt.count() == plain.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import Window
@@ -18,6 +19,7 @@ from trialweave.operators.exposure import exposure_bits
 from trialweave.operators.measures import latest_in_window, measure_slots, measures_in_window
 from trialweave.operators.ordering import exact_quantiles
 from trialweave.operators.panel import gender_flag
+from trialweave.plans.cohort import build_trials
 from trialweave.sources import storage
 from trialweave.sources import testtables as tt
 from trialweave.study import AnalysisSpec, DRUGS, MEASURE_FILES, TEXT_MEASURES, TRIMS
@@ -335,20 +337,35 @@ def _(spark, d):
     return ops.expand(tt.patients(spark, d), CAL).select(*KEYS, "end_followup_date_5y")
 
 
-@query(
-    "t3_whole_cohort",
-    """select patid, gender, gen_ethnicity_mapped, region, imd2015_5, dob, startdate, enddate, HF_date, hf_type, dod, trial_start,
+_COHORT = """select patid, gender, gen_ethnicity_mapped, region, imd2015_5, dob, startdate, enddate, HF_date, hf_type, dod, trial_start,
       enrollment_end, age_at_trial, years_since_reg, end_followup_date_2y, end_followup_date_5y, hypertension_history,
       diabetes_history, bmi, sbp, dbp, creatinine, tchdl_rat, smoke, BB, ACE, ARB, Diuretics, CCB, statin, digoxin,
-      anticoagulant, antiplatelet, treatment, all_cause_mortality_2y, all_cause_mortality_5y from cohort""",
-    doubles="bmi sbp dbp creatinine tchdl_rat",
-    ints="age_at_trial years_since_reg hypertension_history diabetes_history BB ACE ARB Diuretics CCB statin digoxin "
+      anticoagulant, antiplatelet, treatment, all_cause_mortality_2y, all_cause_mortality_5y from cohort"""
+_COHORT_TYPES = {
+    "doubles": "bmi sbp dbp creatinine tchdl_rat",
+    "ints": "age_at_trial years_since_reg hypertension_history diabetes_history BB ACE ARB Diuretics CCB statin digoxin "
     "anticoagulant antiplatelet treatment all_cause_mortality_2y all_cause_mortality_5y",
-)
+}
+
+
+@query("t3_whole_cohort", _COHORT, **_COHORT_TYPES)
 def _(spark, d):
     return cohort(spark, d).drop("months_since_hf")
 
 
+def by_patient(spark, d, buckets=16):
+    """Patients, measurements and prescriptions as tables dealt by patient."""
+    folder = scratch(spark)
+    name = f"raw_{uuid.uuid4().hex}"
+    return [storage.write_by_patient(df, f"{name}_{i}", f"{folder}/{i}", buckets) for i, df in enumerate(raw(spark, d))]
+
+
+@query("t4_cohort_of_bucketed_tables", _COHORT, **_COHORT_TYPES)
+def _(spark, d):
+    """The same cohort from tables dealt by patient: nothing is exchanged by patient."""
+    return build_trials(*by_patient(spark, d), tt.SPEC).drop("months_since_hf")
+
+
 # ---- joins ----------------------------------------------------------------------------------
 
 

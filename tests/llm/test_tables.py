@@ -61,6 +61,47 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 2)
 
 
+def test_left_over_documents_are_compared_in_blocks(spark, monkeypatch):
+    """One pivot, small blocks and nodes: the exhaustive comparison has to find most links."""
+    for name, value in (("SMALL", 3), ("PIVOTS", 1), ("ROUNDS", 1), ("BLOCK", 7)):
+        monkeypatch.setattr(minhash, name, value)
+    rnd, rows = random.Random(9), []
+    for k in range(90):  # pairs of one family lie around the threshold
+        own = [f"w{i}" for i in range(100)]
+        for i in rnd.sample(range(100), 4 + k % 6):
+            own[i] = f"own{k % 40}x{i}"
+        rows.append((k, " ".join(own)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=1).collect()
+    want = brute_components(rows, 1)
+    assert 1 < len({c for *_, c in want}) < 90
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_parities_lose_no_pair_at_the_threshold_and_leave_few_others(spark):
+    rng, rows = np.random.default_rng(1), []
+    for k in range(600):
+        both = 4 * int(rng.integers(1, [5, 100, 3000][k % 3]))
+        apart = both // 4 if k % 2 else both // 2  # similarity of 4/5 or 2/3
+        left = int(rng.integers(0, apart // 5 + 1)) if k % 2 else apart // 2
+        s = rng.integers(1 << 63, size=both + apart, dtype=np.uint64)
+        a, b = np.unique(s[: both + left]), np.unique(np.concatenate([s[:both], s[both + left :]]))
+        rows.append((k % 2 == 1, both, (len(a), minhash._bits(a).tolist()), (len(b), minhash._bits(b).tolist())))
+    side = "struct<n: bigint, bits: array<bigint>>"
+    got = spark.createDataFrame(rows, f"near boolean, both int, a {side}, b {side}").withColumn("ok", minhash._close("a", "b", (80, 100))).collect()
+    assert all(r.ok for r in got if r.near)
+    middle = [r.ok for r in got if not r.near and 100 < r.both < 2000]
+    assert len(middle) > 50 and sum(middle) < 0.02 * len(middle)
+
+
+def test_one_of_equal_rows_is_chosen_alike_on_every_run(spark):
+    rows = [(1, "a b c d e f", f"s{i}") for i in range(20)]
+    kept = [
+        minhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(n), width=2).collect()
+        for order, n in ((rows, 1), (rows[::-1], 5))
+    ]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
 def test_near_duplicates_on_odd_rows(spark, odd_documents):
     got = minhash.near_duplicates(odd_documents, width=2).collect()
     rows = [(r.doc_id, r.text) for r in odd_documents.collect() if r.doc_id is not None]

@@ -5,10 +5,10 @@ smallest value over the set. Documents with equal sets are one. In a tree, a nod
 every document goes to the child named by its token. Two documents of similarity s share a child with
 probability s each, so at 0.8 they share 1.6 of two children on average and most of their paths go on for ever;
 independent trees catch the rest (five trees miss a pair at the threshold with probability below 1e-6).
-Branching stops at small nodes, whose pairs are all compared. A node that stays large holds near copies of one
-another: its documents are compared with some pivots first, and what these links leave apart is compared
-exhaustively. Comparison is by token sketches first (which no pair at the threshold fails but with probability
-below 1e-6) and then on the full sets.
+Branching stops at small nodes, whose pairs are all compared, and at depth 3. A node that is large there mostly
+holds near copies of one another: its documents are compared with some pivots first, and what these links leave
+apart is compared exhaustively, in blocks. Comparison is by a short sketch of the tokens, then by the parities of
+the sets' bins (no pair at the threshold fails either but with probability below 1e-6), and then on the full sets.
 """
 
 from __future__ import annotations
@@ -34,7 +34,11 @@ SMALL = 32
 PIVOTS, ROUNDS = 16, 2
 #: Sketch positions, of 64 with two bits each, in which a pair may differ; 9.6 are expected at similarity 0.8.
 DIFFER = 28
+#: Bins with a parity bit each, a power of two, and standard deviations above the expectation at which a pair is given up.
+BITS, SURE = 2048, 5.5
 PARTNERS = 256
+#: Rows of a node that one task of the exhaustive comparison holds.
+BLOCK = 2048
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1 << 63, size=TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,26 +72,35 @@ def _tokens(s: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def _bits(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of elements in each of ``BITS`` bins; of two sets, bins differ by elements of one only."""
+    bins = (mix(s ^ _C[2]) >> np.uint64(65 - BITS.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(bins, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, d1, d2, tokens = [], [], [], []
+            n, d1, d2, tokens, bits = [], [], [], [], [np.zeros(0, np.int64)]
             for _, _, w in slices(b.column("text")):
                 for s in shingle_sets(w, width):
                     n.append(len(s))
                     d1.append(mix(s ^ _C[1]).sum(dtype=np.uint64))
                     d2.append(mix(s * _C[2] + _C[0]).sum(dtype=np.uint64))
                     tokens.append(_tokens(s))
+                    bits.append(_bits(s))
             t = np.array(tokens, np.uint32).reshape(-1, TOKENS)
             high, low = (np.packbits((t >> k & 1).astype(np.uint8), axis=1).view(np.int64).ravel() for k in (0, 1))
-            offsets = pa.array(np.arange(0, t.size + 1, TOKENS, dtype=np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(t.view(np.int32).ravel()))
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) + 1, k, dtype=np.int32)), pa.array(v))
+                for v, k in ((t.view(np.int32).ravel(), TOKENS), (np.concatenate(bits), BITS // 64))
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("id"), b.column("uid"), pa.array(n, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)),
-                    pa.array(np.array(d2, np.uint64).view(np.int64)), lists, pa.array(high), pa.array(low),
+                    pa.array(np.array(d2, np.uint64).view(np.int64)), lists[0], pa.array(high), pa.array(low), lists[1],
                 ],
-                names=["id", "uid", "n", "d1", "d2", "tokens", "high", "low"],
+                names=["id", "uid", "n", "d1", "d2", "tokens", "high", "low", "bits"],
             )
 
     return run
@@ -124,6 +137,19 @@ def _alike(a: str, b: str, share: tuple[int, int]) -> Column:
     )
 
 
+def _close(a: str, b: str, share: tuple[int, int]) -> Column:
+    """Whether the parities allow the similarity.
+
+    Sets at the threshold differ by at most d = (n_a + n_b) * (den - num) / (den + num) elements. Each changes one
+    parity, so at most d bits differ, which loses no pair; where bins take several such elements, fewer are expected.
+    """
+    num, den = share
+    most = f"({a}.n + {b}.n) * {den - num}d / {den + num}d"
+    odd = f"(1 - exp({most} * {-2 / BITS}d)) / 2"
+    differ = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(BITS // 64))
+    return F.expr(f"{differ} <= least({most} + 0.001, {BITS}d * {odd} + {SURE}d * sqrt({BITS}d * {odd} * (1 - {odd})) + 4)")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int], steps: Steps) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the similarity.
 
@@ -171,9 +197,9 @@ def near_duplicates(
     steps = Steps(spark, "near")
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
     docs = docs.select("id", F.xxhash64("id", "text").alias("uid"), "text")
-    rows = steps.write(docs.mapInArrow(_features(width), "id long, uid long, n long, d1 long, d2 long, tokens array<int>, high long, low long"))
+    rows = steps.write(docs.mapInArrow(_features(width), "id long, uid long, n long, d1 long, d2 long, tokens array<int>, high long, low long, bits array<long>"))
     same = rows.filter("n > 0").groupBy("d1", "d2").agg(
-        F.min("id").alias("first"), F.min("uid").alias("rep"), *[F.first(c).alias(c) for c in ("n", "high", "low", "tokens")]
+        F.min("id").alias("first"), F.min("uid").alias("rep"), *[F.first(c).alias(c) for c in ("n", "high", "low", "tokens", "bits")]
     )
     reps = steps.write(same)
 
@@ -193,25 +219,35 @@ def near_duplicates(
         if depth == LAST or rest.isEmpty():
             break
         inside = reps.join(rest.select("rep").distinct(), "rep", "left_semi")
-    pairs = reduce(DataFrame.unionByName, small)
+    sketch = reps.select("rep", "n", "bits")
+    pairs = reduce(DataFrame.unionByName, small).distinct()
+    pairs = pairs.join(sketch.alias("x"), F.col("a") == F.col("x.rep")).join(sketch.alias("y"), F.col("b") == F.col("y.rep"))
+    pairs = pairs.filter(_close("x", "y", share)).select("a", "b")
 
     links, known = None, None
     if not rest.isEmpty():
-        # A pair that shares several nodes is looked at in the smallest of them only; a document has few nodes.
-        rest = steps.write(rest.join(rest.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys")), "rep"))
+        # One row a document, with all its large nodes; a pair that shares several is looked at in one of them only.
+        rest = rest.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        rest = steps.write(rest.join(reps.select("rep", "n", "high", "low", "bits"), "rep"))
         once = F.expr("array_min(array_intersect(a.keys, b.keys)) = a.key")
         for turn in range(ROUNDS + 1):
-            apart = rest if known is None else _apart(rest, known)
-            if known is not None and apart.isEmpty():
-                break
-            far = F.lit(True) if known is None else F.expr("a.component <> b.component")
+            apart = _apart(rest, known)
+            if known is not None:
+                apart = steps.write(apart)
+                if apart.isEmpty():
+                    break
+            far = F.expr("a.component <> b.component")
             if turn < ROUNDS:  # the same few documents are pivots of all nodes they are in
                 order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "rep"))
                 first = apart.withColumn("nth", F.row_number().over(order)).filter(f"nth <= {PIVOTS}")
                 more = first.alias("a").join(apart.alias("b"), "key").filter("a.rep <> b.rep")
             else:
-                more = apart.alias("a").join(apart.alias("b"), "key").filter("a.rep < b.rep")
-            more = more.filter(far & _alike("a", "b", share) & once).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+                blocks = f"cast(ceil(size / {BLOCK}) as int)"
+                a = apart.withColumn("block", F.expr(f"pmod(hash(rep), {blocks})"))
+                b = apart.withColumn("block", F.explode(F.expr(f"sequence(0, {blocks} - 1)")))
+                more = a.alias("a").join(b.alias("b"), ["key", "block"]).filter("a.rep < b.rep")
+            more = more.filter(far & _alike("a", "b", share) & _close("a", "b", share) & once)
+            more = more.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
             if turn == 0:
                 more = more.unionByName(pairs)
             found = _verify(steps.write(more.distinct()), docs, width, share, steps)
@@ -219,31 +255,40 @@ def near_duplicates(
             links = found if links is None else links.unionByName(found)
             known = steps.write(components(links, steps))
     else:
-        links = _verify(steps.write(pairs.distinct()), docs, width, share, steps)
+        links = _verify(steps.write(pairs), docs, width, share, steps)
         known = steps.write(components(links, steps))
 
     named = known.join(reps.select(F.col("rep").alias("node"), "first"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     member = reps.select("d1", "d2", "first", F.col("rep").alias("node")).join(known, "node", "left").join(least, "component", "left")
     member = steps.write(member.select("d1", "d2", F.coalesce("least", "first").alias("component_id")))
+    steps.keep(rows, member)
     out = rows.select("id", "n", "d1", "d2").join(member, ["d1", "d2"], "left")
     found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"), (found == F.col("id")).alias("kept"))
 
 
-def _apart(rest: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of the nodes that hold more than one component."""
-    rows = rest.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return rows.join(mixed, "key", "left_semi")
+def _apart(rest: DataFrame, known: DataFrame | None) -> DataFrame:
+    """A row for each document and large node that holds more than one component, with the node's ``size``."""
+    if known is None:
+        rows = rest.withColumn("component", F.col("rep"))
+    else:
+        rows = rest.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = rows.withColumn("key", F.explode("keys"))
+    if known is None:  # every set is a component of its own
+        return rows
+    nodes = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
+    return rows.join(nodes.filter("lo < hi").select("key", "size"), "key")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest key, once.
 
-    Rows with a null key cannot be told apart from others and all stay.
+    Rows with a null key cannot be told apart from others and all stay. Of rows with equal key and text that differ
+    elsewhere, a hash of their other columns decides, so reruns agree. Columns keep their names and values.
     """
     names = near_duplicates(docs, key, text, **options).filter("kept").select(F.col(key).alias("__key")).distinct()
-    rows = docs.withColumn("__th", F.xxhash64(text))
-    stay = rows.join(names, F.col(key).cast("long") == F.col("__key"), "left_semi").dropDuplicates([key, "__th"])
-    return stay.unionByName(rows.filter(F.col(key).isNull())).select(*docs.columns)
+    stay = docs.join(names, F.col(key).cast("long") == F.col("__key"), "left_semi")
+    others = F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c != text])))
+    stay = stay.groupBy(F.col(key).alias("__key"), F.xxhash64(text).alias("__th")).agg(F.min_by(F.struct(*docs.columns), others).alias("__row"))
+    return stay.select("__row.*").unionByName(docs.filter(F.col(key).isNull()))

@@ -36,7 +36,7 @@ class Steps:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.n = spark, new_folder(spark, name), 0
+        self.spark, self.base, self.n, self.written = spark, new_folder(spark, name), 0, {}
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -44,14 +44,21 @@ class Steps:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._llm_path = path
+        self.written[path] = out
         return out
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete every written table but these, which are all that later plans read."""
+        stay = {t._llm_path for t in tables}
+        self.drop(*[t for path, t in self.written.items() if path not in stay])
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables, and let Spark release the shuffle files of finished steps."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._llm_path)
             path.getFileSystem(conf).delete(path, True)
+            self.written.pop(t._llm_path, None)
         self.release()
 
     def release(self) -> None:

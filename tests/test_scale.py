@@ -1,10 +1,15 @@
 """What keeps the work spread out and off the driver on large tables, on rows of their own."""
 
 import re
+from bisect import bisect_left, bisect_right
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from trialweave.operators import impute as ops
+from trialweave.operators import ordering, tmle
 from trialweave.plans import imputation
 from trialweave.study import AnalysisSpec
 
@@ -57,3 +62,45 @@ def test_open_rows_stay_in_as_many_parts_as_the_session_has(spark, tmp_path):
     run.step(0, 0)
     assert len(run.opened.inputFiles()) >= parts
     assert run.finish().count() == 2 * df.count()
+
+
+def test_cuts_are_found_in_as_many_steps_as_they_need(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(x), sorted(rng.integers(0, 9, rng.integers(0, 12)).astype(float).tolist())) for x in rng.integers(0, 9, 300)]
+    df = spark.createDataFrame(rows, "s double, __cuts array<double>")
+    found = df.select(ordering._cuts_before("s", "<", 12).alias("below"), ordering._cuts_before("s", "<=", 12).alias("upto")).collect()
+    assert [tuple(r) for r in found] == [(bisect_left(c, x), bisect_right(c, x)) for x, c in rows]
+    assert "32" not in str(ordering._cuts_before("s", "<", 12))
+
+
+def arms(spark, n, seed=1):
+    rng = np.random.default_rng(seed)
+    t, g, q0 = rng.integers(0, 2, n).astype(float), rng.uniform(0.2, 0.8, n), rng.uniform(0.1, 0.4, n)
+    pdf = pd.DataFrame({"group": rng.integers(1, 3, n), "depth": rng.integers(1, 3, n), "row": rng.integers(-(2**62), 2**62, n), "t": t})
+    pdf = pdf.assign(y=(rng.random(n) < q0).astype(float), g=g, q0=q0, q1=q0 * 0.9)
+    return spark.createDataFrame(pdf).withColumns({c: F.col(c).cast("int") for c in ("group", "depth")})
+
+
+def test_an_estimate_alone_deals_no_draws(spark, monkeypatch):
+    df = arms(spark, 4000)
+    want = [r[:4] for r in tmle.fluctuation(df, [1, 2], (0.01, 0.02), 20)]
+
+    def dealt(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(tmle, "with_draws", dealt)
+    assert [r[:4] for r in tmle.fluctuation(df, [1, 2], (0.01, 0.02), 0)] == want and all(r[2] is not None for r in want)
+
+
+def test_replicates_take_one_pass_where_that_is_exact_enough(spark, monkeypatch):
+    df = arms(spark, 30_000).persist()
+    passes = []
+    plain = tmle._sums
+    monkeypatch.setattr(tmle, "_sums", lambda rows, eps, replicates, *more: passes.append(replicates) or plain(rows, eps, replicates, *more))
+    quick = tmle.fluctuation(df, [1, 2], (0.01, 0.02), 60)
+    assert set(passes) == {0}
+    monkeypatch.setattr(tmle, "_replicates", lambda *_: {})
+    slow = tmle.fluctuation(df, [1, 2], (0.01, 0.02), 60)
+    assert 60 in passes and len(quick) == 4
+    for a, b in zip(quick, slow, strict=True):
+        assert a[:4] == b[:4] and a[5] == b[5] == "ok" and a[4] == pytest.approx(b[4], rel=2e-3)

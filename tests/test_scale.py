@@ -2,6 +2,8 @@
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,10 @@ from pyspark.sql import functions as F
 
 from trialweave.operators import impute as ops
 from trialweave.operators import ordering, tmle
+from trialweave.operators.calendar import TrialCalendar
+from trialweave.operators.measures import measures_in_window
 from trialweave.plans import imputation
+from trialweave.sources import testtables as tt
 from trialweave.study import AnalysisSpec
 
 KEYS = ["patid", "trial_start"]
@@ -104,3 +109,27 @@ def test_replicates_take_one_pass_where_that_is_exact_enough(spark, monkeypatch)
     assert 60 in passes and len(quick) == 4
     for a, b in zip(quick, slow, strict=True):
         assert a[:4] == b[:4] and a[5] == b[5] == "ok" and a[4] == pytest.approx(b[4], rel=2e-3)
+
+
+def test_counts_in_windows_do_not_fan_out(spark):
+    """Each person-trial adds up its patient's slots, also where keys repeat or are null and measures have no name."""
+    cal = TrialCalendar(tt.SPEC)
+    days = [date(1994, 1, 5), date(1995, 6, 5), date(1995, 6, 20), date(1996, 2, 3), date(1997, 12, 30)]
+    rows = [(k, day, m, k * 10) for k in (1, 2, 3) for day in days for m in ("bmi", "sbp", None) if (k, m) != (2, "sbp")] + [(None, days[1], "bmi", 9), (1, None, "bmi", 8)]
+    measured = spark.createDataFrame(rows, "patid long, eventdate date, measure_name string, event_id long")
+    people = spark.createDataFrame([(1,), (2,), (2,), (4,), (None,)], "patid long").select("patid", F.inline(cal.trials()))
+    out = measures_in_window(measured, people, cal)
+    want = Counter()
+    for p in (1, 2, 2):
+        mine = Counter()
+        for start in cal.starts:
+            lo, hi = cal.bounds(start)["measures"]
+            mine.update((p, start, m) for k, day, m, _ in rows if k == p and day is not None and lo <= day < hi)
+        want.update((*k, n) for k, n in mine.items())
+    assert Counter(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(patid" in plan and not re.search(r"hashpartitioning\([^)]*trial_start", plan)
+
+
+def test_patients_are_dealt_to_all_tasks(spark):
+    assert tt.patients(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,8 +6,8 @@ every document goes to the child named by its token. Two documents of similarity
 probability s each, so at 0.8 they share 1.6 of two children on average and most of their paths go on for ever;
 independent trees catch the rest (five trees miss a pair at the threshold with probability below 1e-6).
 Branching stops at small nodes, whose pairs are all compared, and at depth 3. A node that is large there mostly
-holds near copies of one another: its documents are compared with some pivots first, and what these links leave
-apart is compared exhaustively, in blocks. Comparison is by a short sketch of the tokens, then by the parities of
+holds near copies of one another: documents are compared with some pivots of their largest node first, and what
+these links leave apart is compared exhaustively, in blocks: all but a node's largest component with all of it. Comparison is by a short sketch of the tokens, then by the parities of
 the sets' bins (no pair at the threshold fails either but with probability below 1e-6), and then on the full sets.
 """
 
@@ -146,7 +146,8 @@ def _close(a: str, b: str, share: tuple[int, int]) -> Column:
     num, den = share
     most = f"({a}.n + {b}.n) * {den - num}d / {den + num}d"
     odd = f"(1 - exp({most} * {-2 / BITS}d)) / 2"
-    differ = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(BITS // 64))
+    # A loop: written out, the join's code would be too long for the JVM to compile.
+    differ = f"aggregate(zip_with({a}.bits, {b}.bits, (p, q) -> bit_count(p ^ q)), 0, (p, q) -> p + q)"
     return F.expr(f"{differ} <= least({most} + 0.001, {BITS}d * {odd} + {SURE}d * sqrt({BITS}d * {odd} * (1 - {odd})) + 4)")
 
 
@@ -158,7 +159,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int
     num, den = share
     count = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts"))
     sent = pairs.join(count, "a").select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("uid"))
-    sides = sent.unionByName(sent.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("uid")).distinct())
+    own = count.select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("uid"))
+    sides = steps.write(sent.unionByName(own))
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
     rows = docs.select("uid", "text").join(sides, "uid").repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role")
 
@@ -178,7 +180,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int
                     k += 1
             yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(uid[found])], names=["a", "b"])
 
-    return steps.write(rows.mapInArrow(run, "a long, b long").distinct())
+    return steps.write(rows.mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(
@@ -214,7 +216,7 @@ def near_duplicates(
         a, b = (shared.filter(f"size <= {SMALL}").alias(x) for x in ("a", "b"))
         pairs = a.join(b, "key").filter("a.rep < b.rep").filter(_alike("a", "b", share))
         small.append(steps.write(pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()))
-        rest = steps.write(shared.filter(f"size > {SMALL}").drop("size"))
+        rest = steps.write(shared.filter(f"size > {SMALL}"))
         steps.drop(shared)
         if depth == LAST or rest.isEmpty():
             break
@@ -226,27 +228,36 @@ def near_duplicates(
 
     links, known = None, None
     if not rest.isEmpty():
-        # One row a document, with all its large nodes; a pair that shares several is looked at in one of them only.
-        rest = rest.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        # One row a document, with all its large nodes, the largest first.
+        rest = rest.groupBy("rep").agg(F.expr("transform(sort_array(collect_set(struct(size, key)), false), x -> x.key)").alias("keys"))
         rest = steps.write(rest.join(reps.select("rep", "n", "high", "low", "bits"), "rep"))
-        once = F.expr("array_min(array_intersect(a.keys, b.keys)) = a.key")
+        # By number: a pair's comparison costs more than the bytes of its rows tell.
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         for turn in range(ROUNDS + 1):
-            apart = _apart(rest, known)
-            if known is not None:
-                apart = steps.write(apart)
-                if apart.isEmpty():
-                    break
-            far = F.expr("a.component <> b.component")
-            if turn < ROUNDS:  # the same few documents are pivots of all nodes they are in
-                order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "rep"))
+            held = _in_components(rest, known)
+            if turn < ROUNDS:  # near copies share their largest node, so that one is enough for their links to pivots
+                held = held.withColumn("key", F.expr("keys[0]"))
+            else:
+                held = steps.write(held.select("rep", "component", F.explode("keys").alias("key")))
+            nodes = steps.write(_apart(held))
+            if turn and nodes.isEmpty():
+                continue
+            apart = held.join(nodes, "key")
+            if turn < ROUNDS:
+                order = Window.partitionBy("key").orderBy(F.expr("component = most"), F.xxhash64(F.lit(turn), "rep"))
                 first = apart.withColumn("nth", F.row_number().over(order)).filter(f"nth <= {PIVOTS}")
-                more = first.alias("a").join(apart.alias("b"), "key").filter("a.rep <> b.rep")
+                more = apart.alias("b").join(first.alias("a"), "key").filter("a.rep <> b.rep")
             else:
-                blocks = f"cast(ceil(size / {BLOCK}) as int)"
-                a = apart.withColumn("block", F.expr(f"pmod(hash(rep), {blocks})"))
-                b = apart.withColumn("block", F.explode(F.expr(f"sequence(0, {blocks} - 1)")))
-                more = a.alias("a").join(b.alias("b"), ["key", "block"]).filter("a.rep < b.rep")
-            more = more.filter(far & _alike("a", "b", share) & _close("a", "b", share) & once)
+                # Rows of a node's largest component are not compared with one another; a pair that shares several
+                # nodes is looked at in one of them only.
+                apart = apart.join(rest, "rep")
+                blocks = f"cast(ceil(others / {BLOCK}) as int)"
+                a = apart.filter("component <> most").withColumn("block", F.expr(f"pmod(hash(rep), {blocks})")).repartition(parts, "key", "block")
+                b = apart.withColumn("block", F.explode(F.expr(f"sequence(0, {blocks} - 1)"))).repartition(parts, "key", "block")
+                more = b.alias("b").join(a.alias("a"), ["key", "block"]).filter("a.rep < b.rep or b.component = b.most")
+            more = more.filter(F.expr("a.component <> b.component") & _alike("a", "b", share) & _close("a", "b", share))
+            if turn == ROUNDS:
+                more = more.filter("array_min(array_intersect(a.keys, b.keys)) = a.key")
             more = more.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
             if turn == 0:
                 more = more.unionByName(pairs)
@@ -268,17 +279,19 @@ def near_duplicates(
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"), (found == F.col("id")).alias("kept"))
 
 
-def _apart(rest: DataFrame, known: DataFrame | None) -> DataFrame:
-    """A row for each document and large node that holds more than one component, with the node's ``size``."""
+def _in_components(rest: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The rows with the ``component`` that links put them in; without links each is one of its own."""
     if known is None:
-        rows = rest.withColumn("component", F.col("rep"))
-    else:
-        rows = rest.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rows = rows.withColumn("key", F.explode("keys"))
-    if known is None:  # every set is a component of its own
-        return rows
-    nodes = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-    return rows.join(nodes.filter("lo < hi").select("key", "size"), "key")
+        return rest.withColumn("component", F.col("rep"))
+    rows = rest.join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    return rows.withColumn("component", F.coalesce("component", "rep"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The nodes that hold more than one component: the one with ``most`` rows, and how many rows are in ``others``."""
+    held = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
+    nodes = held.groupBy("key").agg(F.max(F.struct("held", "component")).alias("top"), F.sum("held").alias("size"))
+    return nodes.filter("top.held < size").select("key", F.col("top.component").alias("most"), F.expr("size - top.held").alias("others"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -77,6 +77,25 @@ def test_left_over_documents_are_compared_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_rows_of_large_nodes_are_made_once(spark, monkeypatch):
+    """One row a document for the pivots, one a document and node for what is left; two families that pivots link."""
+    plans, write = [], minhash.Steps.write
+    monkeypatch.setattr(minhash.Steps, "write", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(self, df))
+    rows = []
+    for k in range(160):
+        own = [f"w{k % 2}x{i}" if i % 3 else f"both{i}" for i in range(120)]
+        own[k % 120] = f"own{k}"
+        rows.append((k, " ".join(own)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 1)
+    assert sum(p.count("Generate explode(keys") for p in plans) == 1
+
+
+def test_parts_of_a_node_beside_its_largest_component(spark):
+    rows = spark.createDataFrame([(1, r, c) for r, c in enumerate([7, 7, 7, 8, 9])] + [(2, r, 7) for r in range(4)], "key long, rep long, component long")
+    assert [tuple(r) for r in minhash._apart(rows).collect()] == [(1, 7, 2)]
+
+
 def test_parities_lose_no_pair_at_the_threshold_and_leave_few_others(spark):
     rng, rows = np.random.default_rng(1), []
     for k in range(600):
@@ -143,6 +162,29 @@ def test_repeats_of_few_words_have_many_branches(spark):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(rows, 6)
 
 
+def test_common_passages_are_one_row_a_text(spark, monkeypatch):
+    made, write = [], substring.Steps.write
+
+    def counted(self, df):
+        out = write(self, df)
+        if {"id", "th"} < set(out.columns) and not {"anchor", "e1"} & set(out.columns):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring.Steps, "write", counted)
+    passage = [f"all{i}" for i in range(20)]
+    rows = [(k, " ".join([*passage[: 20 - k % 2 * 3], *([f"end{k % 3}"] if k % 2 else []), *[f"own{k}x{i}" for i in range(k % 9)], *passage[:12]])) for k in range(90)]
+    rows += rows[40:44] + [(50, rows[3][1]), (None, rows[3][1]), (200, None), (201, "")]
+    docs, most = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), []
+    for share in (1, 50):  # no path, and most of them
+        made.clear()
+        monkeypatch.setattr(substring, "COMMON", share, raising=False)
+        got = substring.remove_repeats(docs, window=6, anchor=2).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(rows, 6)
+        most.append(max(made))
+    assert most[1] < 0.4 * most[0]
+
+
 def test_repeats_on_odd_rows(spark, odd_documents):
     docs = odd_documents.withColumnRenamed("size", "n_removed")
     got = substring.remove_repeats(docs).collect()

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from trialweave.llm.shared import Steps
@@ -30,6 +30,9 @@ WINDOW = 50
 ANCHOR = 8
 _A, _B, _D = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
 _LOW = np.uint64(0xFFFFFFFF)
+#: A path that holds more than this share of all occurrences is common; there are fewer than so many of them.
+COMMON = 1000
+NAME = ["anchor", "f1", "f2", "edges"]
 
 
 def paths(w: Words, window: int, anchor: int) -> dict[str, np.ndarray]:
@@ -82,6 +85,39 @@ def _cut(window: int, anchor: int):
     return run
 
 
+def _merged(common: list[Row], window: int):
+    """The occurrences of common paths, a row for each text (and batch): repeated words, and paths to be opened at their source."""
+    table = np.array([[r[c] for c in NAME] for r in common], np.int64)
+    first, branch = np.array([r["first"] for r in common], np.int64), np.array([r["branch"] for r in common])
+    order = np.argsort(table[:, 1], kind="stable")
+    table, first, branch = table[order], first[order], branch[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in NAME])
+            lo, hi = (np.searchsorted(table[:, 1], own[:, 1], side=side) for side in ("left", "right"))
+            which = np.full(len(own), -1)
+            for k in range(int((hi - lo).max(initial=0))):
+                at = np.flatnonzero(lo + k < hi)
+                same = (table[lo[at] + k] == own[at]).all(axis=1)
+                which[at[same]] = lo[at[same]] + k
+            row = np.flatnonzero(which >= 0)
+            if not len(row):
+                continue
+            which = which[row]
+            ids, ths, start, edges = (b.column(c).to_numpy()[row] for c in ("id", "th", "start", "edges"))
+            late, opened = ids > first[which], branch[which] & (ids == first[which])
+            new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])))
+            lists = []
+            for use, right, name in ((late, start + edges + window - 1, "end"), (opened, edges.astype(np.int32), "edges")):
+                offsets = np.append(0, np.cumsum(use))[np.append(new, len(row))].astype(np.int32)
+                cells = pa.StructArray.from_arrays([pa.array(start[use]), pa.array(right[use])], names=["start", name])
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), cells))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(ths[new]), *lists], names=["id", "th", "spans", "places"])
+
+    return run
+
+
 def _open(window: int):
     """Edges of the paths whose places are listed with the text."""
 
@@ -153,36 +189,55 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     are, null stays null. ``kept_sha256`` is the digest of the kept words joined by one space. Repeats inside a row,
     or among rows of the same key, are no repeats. Rows with a null key keep all their words and are no source.
     Other columns pass through; new columns replace old ones of their names. An empty table gives no rows.
-    A passage in a third of all rows is one row per map task after pre-aggregation; nothing is gathered by passage.
+    A passage in a third of all rows is one row per map task after pre-aggregation; nothing is gathered by passage, and
+    occurrences of common paths do not move: they become one row for each text where they are.
     """
     spark = docs.sparkSession
     steps = Steps(spark, "repeats")
     source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).filter("id is not null")
-    name = ["anchor", "f1", "f2", "edges"]
+    name = NAME
     runs = steps.write(source.mapInArrow(_cut(window, anchor), "id long, th long, start long, edges int, anchor long, f1 long, f2 long"))
     # One row per different path, with its first source.
-    unique = steps.write(runs.groupBy(*name).agg(F.min("id").alias("first"), F.max("id").alias("last")))
+    unique = steps.write(runs.groupBy(*name).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")))
     steps.release()
     branching = unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     branching = unique.join(branching, "anchor", "left_semi")
-    branching = steps.write(branching.select("anchor", "f1", "f2", "edges", "first"))
+    branching = steps.write(branching.select(*name, "first", "n"))
     # Occurrences of paths that are repeated or branch; the others are done with.
-    several = unique.filter("first < last").select(*name, "first", F.lit(False).alias("branch"))
-    asked = several.unionByName(branching.select(*name, "first", F.lit(True).alias("branch")))
-    asked = asked.groupBy(*name).agg(F.min("first").alias("first"), F.max("branch").alias("branch"))
-    found = steps.write(runs.join(asked, name).select("id", "th", "start", "edges", "first", "branch"))
-    steps.drop(runs, unique, branching)
-    spans = found.filter("id > first").select("id", "th", "start", (F.col("start") + F.col("edges") + window - 1).alias("end"))
+    several = unique.filter("first < last").select(*name, "first", "n", F.lit(False).alias("branch"))
+    asked = several.unionByName(branching.select(*name, "first", "n", F.lit(True).alias("branch")))
+    asked = asked.groupBy(*name).agg(F.min("first").alias("first"), F.max("n").alias("n"), F.max("branch").alias("branch"))
+    asked = steps.write(asked)
+    least = max(runs.count() // COMMON, COMMON)
+    common = asked.filter(F.col("n") > least).drop("n").collect()
+    rare = runs
+    if common:
+        rare = runs.join(F.broadcast(asked.filter(F.col("n") > least).select(*name)), name, "left_anti")
+    found = rare.join(asked.filter(F.col("n") <= least).drop("n"), name).select("id", "th", "start", "edges", "first", "branch")
+    spans = F.struct("start", (F.col("start") + F.col("edges") + window - 1).alias("end"))
+    found = found.select("id", "th", F.when(F.col("id") > F.col("first"), spans).alias("span"), F.when(F.col("branch") & (F.col("id") == F.col("first")), F.struct("start", "edges")).alias("place"))
+    found = steps.write(found.filter("span is not null or place is not null"))
+    spans = found.filter("span is not null").select("id", "th", F.array("span").alias("spans"))
+    places = found.filter("place is not null").select("id", "th", F.array("place").alias("places"))
+    tables = [found]
+    if common:
+        schema = "id long, th long, spans array<struct<start:long,end:long>>, places array<struct<start:long,edges:int>>"
+        merged = steps.write(runs.mapInArrow(_merged(common, window), schema))
+        spans = spans.unionByName(merged.filter("size(spans) > 0").select("id", "th", "spans"))
+        places = places.unionByName(merged.filter("size(places) > 0").select("id", "th", "places"))
+        tables.append(merged)
+    steps.drop(runs, unique, branching, asked)
 
     # Branching paths, opened into edges at their first source.
-    places = found.filter("branch and id = first").groupBy("id", "th").agg(F.collect_set(F.struct("start", "edges")).alias("places"))
+    places = places.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
     edges = source.join(places, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(_open(window), "id long, th long, start long, e1 long, e2 long")
     edges = steps.write(edges)
     steps.release()
     origin = edges.groupBy("e1", "e2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("e1", "e2", "first")
-    late = edges.join(origin, ["e1", "e2"]).filter("id > first").select("id", "th", "start", (F.col("start") + window).alias("end"))
-    spans = steps.write(spans.unionByName(late).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("__spans")))
-    steps.drop(edges, found)
+    late = edges.join(origin, ["e1", "e2"]).filter("id > first").select("id", "th", F.array(F.struct("start", (F.col("start") + window).alias("end"))).alias("spans"))
+    spans = spans.unionByName(late).groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("__spans"))
+    spans = steps.write(spans)
+    steps.drop(edges, *tables)
 
     new = ["n_words", "n_removed", "kept_sha256"]
     kept = [c for c in docs.columns if c not in (text, *new)]

@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trialweave.llm import hnsw, knn, minhash, mixing, substring, warc
@@ -91,6 +92,49 @@ def test_rows_of_large_nodes_are_made_once(spark, monkeypatch):
     assert sum(p.count("Generate explode(keys") for p in plans) == 1
 
 
+def test_rows_of_nodes_move_once_a_depth(spark, monkeypatch):
+    """Node rows are joined neither with their sizes nor with their parents, and only texts of pairs are sent to be compared."""
+    plans, write = [], minhash.Steps.write
+    monkeypatch.setattr(minhash.Steps, "write", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(self, df))
+    rows = [(k, " ".join(f"own{k}" if i == k % 110 else f"w{k % 3}x{i}" for i in range(110))) for k in range(150)]
+    rows += [(1000 + k, " ".join(f"u{k}x{i}" for i in range(30))) for k in range(60)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 1)
+    assert not any("parent#" in line or "size#" in line for p in plans for line in p.splitlines() if "Join " in line or line.lstrip(" :+-").startswith("Filter (size"))
+    assert any("bitmap_construct_agg" in p for p in plans)
+
+
+@pytest.mark.parametrize("batch", [1, 2, 7, 1000])
+def test_nodes_across_batches_meet_as_if_in_one(batch):
+    """Nodes of 1 to 9 rows, up to four of them compared in full."""
+    rng, rows = np.random.default_rng(3), []
+    for key in range(60):
+        high, low = rng.integers(1 << 62, size=2)
+        for i in range(key % 9 + 1):
+            rows.append((key, 100 * key + i, 10 - (i == 3) * 5, int(high) ^ (1 << i), int(low) ^ (2 << i)))
+    columns = [pa.array(c) for c in zip(*rows, strict=True)]
+    whole = pa.RecordBatch.from_arrays(columns, names=minhash.NODE)
+    batches = [whole.slice(i, batch) for i in range(0, len(rows), batch)]
+    out = [tuple(r.values()) for b in minhash._meet(4, 3, (80, 100))(iter([*batches, whole.slice(0, 0)])) for r in b.to_pylist()]
+    sizes = {key: key % 9 + 1 for key in range(60)}
+    want = [(r[1], r[0], True) for r in rows if sizes[r[0]] > 4]
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[1] < y[1] and sizes[x[0]] <= 4 and 5 * min(x[2], y[2]) >= 4 * max(x[2], y[2]):
+                if (x[3] ^ y[3] | x[4] ^ y[4]).bit_count() <= 3:
+                    want.append((x[1], y[1], False))
+    assert sorted(out) == sorted(want) and any(not large for *_, large in want)
+
+
+def test_texts_of_pairs_are_found_without_an_exchange(spark):
+    docs = spark.range(20_000).selectExpr("xxhash64(id) uid", "string(id) text")
+    some = docs.filter("text % 50 = 0")
+    got = minhash._wanted(docs, some)
+    assert got.join(some, "uid", "left_semi").count() == 400 and got.count() < 1_500
+    assert minhash._wanted(docs, some.limit(0)).count() == 0
+    assert minhash._wanted(docs, docs).count() == 20_000
+
+
 def test_parts_of_a_node_beside_its_largest_component(spark):
     rows = spark.createDataFrame([(1, r, c) for r, c in enumerate([7, 7, 7, 8, 9])] + [(2, r, 7) for r in range(4)], "key long, rep long, component long")
     assert [tuple(r) for r in minhash._apart(rows).collect()] == [(1, 7, 2)]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,10 @@ BITS, SURE = 2048, 5.5
 PARTNERS = 256
 #: Rows of a node that one task of the exhaustive comparison holds.
 BLOCK = 2048
+#: Bits of the largest bitmap of documents whose texts are wanted (8 MB), and of each of its parts (as Spark has them).
+MARKS, MAP = 1 << 26, 1 << 15
+#: Columns of a document in a node.
+NODE = ["key", "rep", "n", "high", "low"]
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1 << 63, size=TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,23 +112,70 @@ def _features(width: int):
 
 
 def _nodes(depth: int):
-    """The nodes of each document at a depth, with their parents, over all trees."""
+    """The nodes of each document at a depth, over all trees; below the first depth, only children of its ``parents``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = b.column("tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint32).reshape(-1, TOKENS).astype(np.uint64)
-            keys, parents = [], []
+            at, given = mix(np.arange(1, len(t) + 1, dtype=np.uint64)), None
+            if "parents" in b.schema.names:
+                lists = b.column("parents")
+                of = np.repeat(at, lists.value_lengths().to_numpy(zero_copy_only=False))
+                given = np.unique(mix(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ of))
+            keys, rows = [], []
             for tree in range(TREES):
                 name = {1: np.full(len(t), tree, np.uint64)}
                 for q in range(2, 2 << depth):
                     token = t[:, _ORDER[tree][q % TOKENS]]
                     name[q] = mix(mix(name[q >> 1] * _C[0] + np.uint64(q)) ^ token)
-                leaves = range(1 << depth, 2 << depth)
-                keys += [name[q] for q in leaves]
-                parents += [name[q >> 1] for q in leaves]
-            row = pa.array(np.tile(np.arange(len(t)), len(keys)))
-            columns = [*(b.column(c).take(row) for c in ("rep", "n", "high", "low")), *(pa.array(np.concatenate(k).view(np.int64)) for k in (keys, parents))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "high", "low", "key", "parent"])
+                for q in range(1 << depth, 2 << depth):
+                    own = np.arange(len(t))
+                    if given is not None:
+                        parent = mix(name[q >> 1] ^ at)
+                        own = np.flatnonzero(given.take(np.searchsorted(given, parent), mode="clip") == parent)
+                    keys.append(name[q][own])
+                    rows.append(own)
+            row = pa.array(np.concatenate(rows))
+            columns = [pa.array(np.concatenate(keys).view(np.int64)), *(b.column(c).take(row) for c in NODE[1:])]
+            yield pa.RecordBatch.from_arrays(columns, names=NODE)
+
+    return run
+
+
+def _meet(small: int, differ: int, share: tuple[int, int]):
+    """From rows sorted by node: the pairs ``a, b`` of nodes of at most ``small`` rows that sizes and sketches allow
+    (as ``_alike`` does), and the rows of ``large`` nodes, document ``a`` in node ``b``. Nodes of one row give nothing.
+    """
+    num, den = share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, big = np.zeros((len(NODE), 0), np.int64), None
+        for b in chain(batches, [None]):
+            rows = left if b is None else np.concatenate([left, np.stack([b.column(c).to_numpy() for c in NODE])], axis=1)
+            if not rows.shape[1]:
+                continue
+            starts = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+            sizes = np.diff(np.append(starts, rows.shape[1]))
+            large = sizes > small
+            large[0] |= big is not None and rows[0, 0] == big
+            # The last node may go on in the next batch; only of a small one rows are held.
+            end = rows.shape[1] if large[-1] or b is None else starts[-1]
+            left, big = rows[:, end:], rows[0, -1] if large[-1] else None
+            wide = np.repeat(large, sizes)[:end]
+            many = rows[:2, :end][:, wide]
+            key, rep, n, high, low = rows[:, :end][:, ~wide & np.repeat(sizes > 1, sizes)[:end]]
+            found = []
+            for d in range(1, small):
+                i = np.flatnonzero(key[d:] == key[:-d])
+                if not len(i):
+                    break
+                j = i + d
+                ok = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
+                ok &= (rep[i] != rep[j]) & (np.bitwise_count(((high[i] ^ high[j]) | (low[i] ^ low[j])).view(np.uint64)) <= differ)
+                found.append(np.sort(np.stack([rep[i[ok]], rep[j[ok]]]), axis=0))
+            out = np.concatenate([many[::-1], *found], axis=1)
+            flag = np.arange(out.shape[1]) < many.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(flag)], names=["a", "b", "large"])
 
     return run
 
@@ -151,6 +203,20 @@ def _close(a: str, b: str, share: tuple[int, int]) -> Column:
     return F.expr(f"{differ} <= least({most} + 0.001, {BITS}d * {odd} + {SURE}d * sqrt({BITS}d * {odd} * (1 - {odd})) + 4)")
 
 
+def _wanted(docs: DataFrame, sides: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``uid`` is in ``sides``, and few others: without an exchange, by a bitmap of hashes.
+
+    It has 16 bits or more a wanted row up to ``MARKS`` in all, so that the texts that move are about those of pairs,
+    however many documents there are. The join that follows is exact.
+    """
+    marks = min(MARKS, max(MAP, 1 << (16 * sides.count()).bit_length()))
+    part, bit = F.expr(f"pmod(uid, {marks}L) div {MAP}"), F.expr(f"pmod(uid, {marks}L) % {MAP}")
+    maps = sides.select(part.alias("part"), bit.alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+    byte = f"cast(conv(hex(substring(map, cast(pmod(uid, {marks}L) % {MAP} div 8 as int) + 1, 1)), 16, 10) as int)"
+    marked = F.expr(f"getbit({byte}, cast(pmod(uid, {marks}L) % 8 as int)) = 1")
+    return docs.join(F.broadcast(maps), (part == F.col("part")) & marked).select(docs.columns)
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int], steps: Steps) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the similarity.
 
@@ -162,7 +228,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int
     own = count.select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("uid"))
     sides = steps.write(sent.unionByName(own))
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
-    rows = docs.select("uid", "text").join(sides, "uid").repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role")
+    rows = _wanted(docs.select("uid", "text"), sides).join(sides, "uid").repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own = None, None
@@ -205,34 +271,30 @@ def near_duplicates(
     )
     reps = steps.write(same)
 
-    small, rest, inside = [], None, reps
+    # By number: a pair's comparison costs more than the bytes of its rows tell.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    small, inside = [], reps.select("tokens", *NODE[1:])
     for depth in range(FIRST, LAST + 1):
-        nodes = inside.select("rep", "n", "high", "low", "tokens").mapInArrow(_nodes(depth), "rep long, n long, high long, low long, key long, parent long")
-        if rest is not None:
-            nodes = nodes.join(rest.select(F.col("key").alias("parent")).distinct(), "parent", "left_semi")
-        nodes = nodes.drop("parent")
-        sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        shared = steps.write(nodes.join(sizes, "key"))
-        a, b = (shared.filter(f"size <= {SMALL}").alias(x) for x in ("a", "b"))
-        pairs = a.join(b, "key").filter("a.rep < b.rep").filter(_alike("a", "b", share))
-        small.append(steps.write(pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()))
-        rest = steps.write(shared.filter(f"size > {SMALL}"))
-        steps.drop(shared)
+        # One exchange of narrow rows: nodes are counted, and small ones compared, where their rows meet.
+        nodes = inside.mapInArrow(_nodes(depth), ", ".join(f"{c} long" for c in NODE)).repartition(parts, "key").sortWithinPartitions("key")
+        met = steps.write(nodes.mapInArrow(_meet(SMALL, DIFFER, share), "a long, b long, large boolean"))
+        small.append(met.filter("not large").select("a", "b"))
+        rest = met.filter("large").select(F.col("a").alias("rep"), F.col("b").alias("key"))
         if depth == LAST or rest.isEmpty():
             break
-        inside = reps.join(rest.select("rep").distinct(), "rep", "left_semi")
+        parents = rest.groupBy("rep").agg(F.collect_set("key").alias("parents"))
+        inside = reps.select("tokens", *NODE[1:]).join(parents, "rep")
     sketch = reps.select("rep", "n", "bits")
     pairs = reduce(DataFrame.unionByName, small).distinct()
     pairs = pairs.join(sketch.alias("x"), F.col("a") == F.col("x.rep")).join(sketch.alias("y"), F.col("b") == F.col("y.rep"))
     pairs = pairs.filter(_close("x", "y", share)).select("a", "b")
 
-    links, known = None, None
+    known = None
     if not rest.isEmpty():
         # One row a document, with all its large nodes, the largest first.
+        rest = rest.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
         rest = rest.groupBy("rep").agg(F.expr("transform(sort_array(collect_set(struct(size, key)), false), x -> x.key)").alias("keys"))
         rest = steps.write(rest.join(reps.select("rep", "n", "high", "low", "bits"), "rep"))
-        # By number: a pair's comparison costs more than the bytes of its rows tell.
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         for turn in range(ROUNDS + 1):
             held = _in_components(rest, known)
             if turn < ROUNDS:  # near copies share their largest node, so that one is enough for their links to pivots
@@ -263,11 +325,11 @@ def near_duplicates(
                 more = more.unionByName(pairs)
             found = _verify(steps.write(more.distinct()), docs, width, share, steps)
             steps.release()
-            links = found if links is None else links.unionByName(found)
+            # A component known is as good as its links.
+            links = found if known is None else known.filter("node <> component").toDF("a", "b").unionByName(found)
             known = steps.write(components(links, steps))
     else:
-        links = _verify(steps.write(pairs), docs, width, share, steps)
-        known = steps.write(components(links, steps))
+        known = steps.write(components(_verify(steps.write(pairs), docs, width, share, steps), steps))
 
     named = known.join(reps.select(F.col("rep").alias("node"), "first"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
